@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import split
+from sitelode.llm import repeated, split
 from sitelode.session import read_table
 
 
@@ -28,4 +28,14 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces)}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines repeated over a site's records."""
+    return repeated.repeated_lines(read_table(spark, root, "pages"), exact=True).select("id", "line_no")
+
+
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """Every record of pages without the near-duplicate lines of its site."""
+    return repeated.without_repeated(read_table(spark, root, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_cleaned)}

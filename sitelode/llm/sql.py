@@ -6,4 +6,23 @@ ORACLES = {
         UNION ALL
         SELECT DISTINCT 'chunks' AS tbl, id FROM chunks WHERE length(content) > 1000
     """,
+    "p7_found": r"""
+        WITH recs AS (
+            SELECT DISTINCT id, content,
+                   regexp_replace(regexp_extract(lower(url), '^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '') AS site
+            FROM pages),
+        ls AS (
+            SELECT id, site, unnest(string_split(content, chr(10))) AS l,
+                   unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no
+            FROM recs WHERE content IS NOT NULL),
+        norm AS (
+            SELECT id, site, line_no::INT AS line_no,
+                   trim(regexp_replace(lower(l), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}]+', ' ', 'g')) AS n
+            FROM ls),
+        tot AS (SELECT site, count(DISTINCT id) AS t FROM recs GROUP BY site),
+        hot AS (
+            SELECT site, n FROM norm JOIN tot USING (site) WHERE n <> ''
+            GROUP BY site, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) * 10 >= max(t))
+        SELECT DISTINCT id, line_no FROM norm JOIN hot USING (site, n)
+    """,
 }
