@@ -113,7 +113,8 @@ def split_column(limit: int = LIMIT, overlap: int = OVERLAP):
     def pieces(text: pd.Series) -> pd.Series:
         return pd.Series(per_distinct(text, lambda t: split_text(t, limit, overlap)), dtype=object)
 
-    return pieces
+    # Else a filter on the number of pieces would run the UDF a second time.
+    return pieces.asNondeterministic()
 
 
 def split_rows(
