@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import repeated, split
+from sitelode.llm import repeated, split, tokens
 from sitelode.session import read_table
 
 
@@ -38,4 +38,9 @@ def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return repeated.without_repeated(read_table(spark, root, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_cleaned)}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokens.encode_texts(read_table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_cleaned, p8_ids)}
