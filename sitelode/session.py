@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +66,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes up to which the session broadcasts a join side (-1: never)."""
-    from_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = str(from_conf).lower().rstrip("b")
-    return int(text[:-1]) * units[text[-1]] if text and text[-1] in units else int(text)
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the checkpoint folder and read back.
+
+    Cuts the lineage as :func:`checkpointed` does, in columns and compressed, so
+    that wide or long intermediate results cost less disk, and later reads prune
+    columns.  The folder is removed when the application ends, or by
+    :func:`release_materialised`.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release_materialised() -> None:
+    """Remove every table that :func:`materialised` wrote; none may be in use."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone already  # noqa: BLE001
+            return
+
+
+atexit.register(release_materialised)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
