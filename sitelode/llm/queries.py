@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import repeated, split, tokens
+from sitelode.llm import leakage, repeated, split, tokens
 from sitelode.session import read_table
 
 
@@ -30,7 +30,7 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Lines repeated over a site's records."""
-    return repeated.repeated_lines(read_table(spark, root, "pages"), exact=True).select("id", "line_no")
+    return repeated.repeated_lines(read_table(spark, root, "pages"), exact=True)
 
 
 def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
@@ -43,4 +43,16 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_texts(read_table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_cleaned, p8_ids)}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return leakage.leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"))
+
+
+def p9_items(spark: SparkSession, root: str) -> DataFrame:
+    """Every evaluation item and the number of documents it leaked into."""
+    return leakage.leaked_items(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"))
+
+
+QUERIES = {
+    f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
+}

@@ -25,4 +25,18 @@ ORACLES = {
             GROUP BY site, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) * 10 >= max(t))
         SELECT DISTINCT id, line_no FROM norm JOIN hot USING (site, n)
     """,
+    "p9_found": r"""
+        WITH w AS (
+            SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+        ig AS (
+            SELECT item_id, least(12, len(ws)) AS k,
+                   unnest([array_to_string(ws[p:p + least(12, len(ws)) - 1], ' ') FOR p IN range(1, len(ws) - least(12, len(ws)) + 2)]) AS g
+            FROM i WHERE len(ws) > 0),
+        ks AS (SELECT DISTINCT k FROM ig),
+        dg AS (
+            SELECT doc_id, k, unnest([array_to_string(ws[p:p + k - 1], ' ') FOR p IN range(1, len(ws) - k + 2)]) AS g
+            FROM w, ks WHERE len(ws) >= k)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, g)
+    """,
 }
