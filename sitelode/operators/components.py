@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelode.session import checkpointed
+from sitelode.session import materialised
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,18 +36,19 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Alternates large-star and small-star contraction (Kiveris et al., 2014):
     O(log n) rounds in practice, each a pair of hash aggregations with map-side
     combine, so a hub with many links is reduced before it is shuffled.  Each
-    round ends in a reliable checkpoint; only a checksum comes to the driver.
+    round is written to the checkpoint folder; only a checksum comes to the driver.
 
     Nulls: an edge with a null end is ignored.  Self loops and repeated edges
     change nothing (a node with only a self loop is its own component).  No
     edges: an empty result.  Other columns of ``edges`` are ignored.
     """
     clean = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    clean = materialised(clean.distinct())
     nodes = clean.select(F.col("a").alias("node")).union(clean.select("b")).distinct()
-    now = checkpointed(clean.filter("a <> b").distinct())
+    now = clean.filter("a <> b")
     before = None
     for _ in range(max_rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = materialised(_small_star(_large_star(now)))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break
