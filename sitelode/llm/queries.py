@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import leakage, nearest, repeated, split, tokens
+from sitelode.llm import leakage, nearest, neardup, repeated, split, tokens
 from sitelode.session import read_table
 
 
@@ -28,6 +28,16 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of cleaned pages with a similarity of 0.6 over runs of three words."""
+    return neardup.duplicate_pairs(read_table(spark, root, "cleaned_pages"), shingle=3, similarity=0.6)
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Class, group and number of links of every cleaned page."""
+    return neardup.duplicate_groups(read_table(spark, root, "cleaned_pages"), shingle=3, similarity=0.6)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of chunks of which one is among the five most similar of the other."""
     return nearest.neighbour_pairs(read_table(spark, root, "chunks"))
@@ -59,5 +69,5 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p3_found, p3_pieces, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
+    f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
 }
