@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import leakage, nearest, neardup, repeated, split, tokens
+from sitelode.llm import canonical, leakage, nearest, neardup, repeated, split, tokens
+from sitelode.operators.dedupe import distinct_rows
 from sitelode.session import read_table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Titles and contents of pages that are not in the one form."""
+    return canonical.respelled(read_table(spark, root, "pages"), ["title", "content"])
+
+
+def p1_normalised(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct record of pages, title and content in the one form."""
+    pages = read_table(spark, root, "pages").select("id", "title", "content")
+    return canonical.normalise(distinct_rows(pages, "id"), ["title", "content"])
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of cleaned_pages and chunks that the splitter cuts."""
     parts = [
@@ -69,5 +81,5 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
+    f.__name__: f for f in (p1_found, p1_normalised, p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
 }
