@@ -279,10 +279,18 @@ def nearest_neighbours(
                 "v": np.repeat(np.array(short, dtype=object), many), "codes": None, "norm": np.repeat(step, many),
             })
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cells = index.cells(_matrix(batch["v"]), probes)
+                asked, asks = np.unique(cells, return_counts=True)
+                own = pd.Series(cells[:, 0]).value_counts().reindex(asked, fill_value=0).to_numpy()
+                yield pd.DataFrame({"cell": asked, "own": own, "asks": asks})
+
     spread = kept.mapInPandas(assign, "cell long, kind byte, id long, v binary, codes binary, norm float")
-    sizes = spread.groupBy("cell").agg(
-        F.ceil(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)) / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.sum(F.col("kind")) / BLOCK_QUERIES).cast("int").alias("salts"),
+    sizes = kept.select("v").mapInPandas(count, "cell long, own long, asks long").groupBy("cell").agg(
+        F.ceil(F.sum("own") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.sum("asks") / BLOCK_QUERIES).cast("int").alias("salts"),
     )
     # Only cells that must be split; there is at most one for BLOCK rows.
     large = broadcast_if_small(materialised(sizes.filter("blocks > 1 or salts > 1")), 32)
@@ -305,7 +313,7 @@ def nearest_neighbours(
     )
     best = Window.partitionBy("id").orderBy(F.desc("score"), "near")
     heads_only = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("id", "near", "score")
-    return _with_copies(heads_only, vectors, classes, k)
+    return _with_copies(materialised(heads_only), vectors, classes, k)
 
 
 def _with_copies(found: DataFrame, vectors: DataFrame, classes: DataFrame, k: int) -> DataFrame:
