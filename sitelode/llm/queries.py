@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import canonical, leakage, nearest, neardup, repeated, split, tokens
+from sitelode.llm import body, canonical, leakage, nearest, neardup, repeated, residue, split, tokens, truncation
 from sitelode.operators.dedupe import distinct_rows
 from sitelode.session import read_table
 
@@ -21,6 +21,16 @@ def p1_normalised(spark: SparkSession, root: str) -> DataFrame:
     return canonical.normalise(distinct_rows(pages, "id"), ["title", "content"])
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records of pages with template residue, filler or an error message for a text."""
+    return residue.residue_records(read_table(spark, root, "pages")).select("id")
+
+
+def p2_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The records of pages that remain without those of p2_found."""
+    return residue.without_residue(read_table(spark, root, "pages").select("id", "url", "content"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of cleaned_pages and chunks that the splitter cuts."""
     parts = [
@@ -40,6 +50,14 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines outside the main body, of records of several lines that are no cases of p2."""
+    pages = read_table(spark, root, "pages")
+    model = body.fit_from_kept(pages, read_table(spark, root, "cleaned_pages"))
+    cases = residue.residue_records(pages).select("id")
+    return body.boilerplate_lines(pages, model).join(cases, "id", "left_anti")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of cleaned pages with a similarity of 0.6 over runs of three words."""
     return neardup.duplicate_pairs(read_table(spark, root, "cleaned_pages"), shingle=3, similarity=0.6)
@@ -80,6 +98,22 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.truncated_documents(read_table(spark, root, "documents"))
+
+
+def p10_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Documents, cut documents and their share, of each source."""
+    return truncation.source_shares(read_table(spark, root, "documents"))
+
+
+def p10_limits(spark: SparkSession, root: str) -> DataFrame:
+    """The hidden storage limits that the lengths of a source's texts show."""
+    return truncation.hidden_limits(read_table(spark, root, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_normalised, p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items)
+    f.__name__: f
+    for f in (p1_found, p1_normalised, p2_found, p2_kept, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)
 }
