@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,16 +35,15 @@ def _scored(index: DataFrame, query: list[float], use_cosine: bool) -> DataFrame
     return index.select("id", score.alias("score"))
 
 
-def search(index: DataFrame, query: list[float], top_k: int = 3, use_cosine: bool = True, digits: int | None = None) -> DataFrame:
+def search(index: DataFrame, query: list[float], top_k: int = 3, use_cosine: bool = True, digits: int = 9) -> DataFrame:
     """``(id, score)`` of the ``top_k`` best rows, best first, ties by the smaller id.
 
-    The score is the cosine, or the negative squared distance.  Planned as
+    The score is the cosine, or the negative squared distance, rounded so that
+    equal vectors tie.  Planned as
     TakeOrderedAndProject: each partition keeps ``top_k`` rows, nothing is
     shuffled.  Fewer rows than ``top_k``: all of them.
     """
-    scored = _scored(index, query, use_cosine)
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
+    scored = _scored(index, query, use_cosine).withColumn("score", F.round("score", digits))
     return scored.orderBy(F.desc("score"), "id").limit(top_k)
 
 
@@ -60,10 +60,7 @@ def search_batch(
     parts = []
     # Blocks come to the driver one at a time: a query set is small beside the index.
     rows = queries.select("query_id", "v").orderBy("query_id").toLocalIterator()
-    while True:
-        block = [r for r, _ in zip(rows, range(QUERY_BLOCK))]
-        if not block:
-            break
+    while block := list(islice(rows, QUERY_BLOCK)):
         ids = np.array([r["query_id"] for r in block])
         q = np.array([r["v"] for r in block], np.float64)
         if use_cosine:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -67,6 +68,6 @@ def write_sqlite(rows: DataFrame, path: str, table: str, batch: int = 1_000) ->
     with db:
         db.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({", ".join(chr(34) + n + chr(34) for n in names)})')
         stream = rows.toLocalIterator()
-        while part := [tuple(r) for r, _ in zip(stream, range(batch))]:
+        while part := [tuple(r) for r in islice(stream, batch)]:
             db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', part)
     db.close()
