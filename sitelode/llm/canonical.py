@@ -53,6 +53,7 @@ def _replacement(ch: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict[int, str], dict[str, dict[str, dict[str, str]]], re.Pattern]:
+    """Replacements of single characters, look-alikes by (to, from) script, and the class of the former."""
     single = {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF or 0x3400 <= code <= 0xD7A3 or 0x17000 <= code <= 0x1CFFF:
@@ -72,9 +73,23 @@ def _tables() -> tuple[dict[int, str], dict[str, dict[str, dict[str, str]]], re.
             for b, y in zip(SCRIPTS, letters):
                 if a != b and x != "-" and y != "-":
                     maps[b].setdefault(a, {})[x] = y
-    # A word that may hold letters of two scripts.
-    mixed = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ԯ̀-ͯ]+")
-    return single, maps, mixed
+    # One class of all characters that may be replaced, as ranges.
+    codes = sorted(single)
+    ranges, begin = [], codes[0]
+    for i, code in enumerate(codes):
+        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+            ranges.append((begin, code))
+            begin = codes[i + 1] if i + 1 < len(codes) else 0
+    special = re.compile("[" + "".join(re.escape(chr(x)) + ("-" + re.escape(chr(y)) if y > x else "") for x, y in ranges) + "]")
+    return single, maps, special
+
+
+_LATIN, _GREEK, _CYRILLIC, _ACCENT = "A-Za-zÀ-ɏ", "Ͱ-Ͽ", "Ѐ-ԯ", "\u0300-\u036f"
+#: A word that may hold letters of two scripts, and the place where one does.
+_ALPHABETIC = re.compile(f"[{_LATIN}{_GREEK}{_CYRILLIC}{_ACCENT}]+")
+_MIXED = re.compile(
+    f"[{_LATIN}][{_ACCENT}]*[{_GREEK}{_CYRILLIC}]|[{_GREEK}][{_ACCENT}]*[{_LATIN}{_CYRILLIC}]|[{_CYRILLIC}][{_ACCENT}]*[{_LATIN}{_GREEK}]"
+)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -149,46 +164,38 @@ def canonical(text: str) -> str:
     them; wide punctuation next to Japanese text stays; look-alike letters in a
     word of two scripts are put into one.  Case, quotes and dashes stay.
     """
-    if _PLAIN_TEXT.match(text):
+    if text.isascii() and _PLAIN_TEXT.match(text):
         return text
-    single, _, mixed = _tables()
-    out: list[str] = []
-    n = len(text)
-    for i, ch in enumerate(text):
-        code = ord(ch)
-        new = single.get(code) if code >= 0x7F or code < 0x20 else None
-        if new is None:
-            out.append(ch)
-            continue
-        if code in (0x200C, 0x200D, 0xFE0E, 0xFE0F) or 0xE0020 <= code <= 0xE007F:
-            before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < n else ""
-            if code == 0x200D and _is_symbol(before) and _is_symbol(after):
-                out.append(ch)
-                continue
-            if code in (0x200C, 0x200D) and _joins(before) and _joins(after):
-                out.append(ch)
-                continue
-            if code == 0xFE0F and (_is_symbol(before) or after == "⃣"):
-                out.append(ch)
-                continue
-            if code >= 0xE0020 and (before == "\U0001f3f4" or 0xE0020 <= ord(before or "\0") <= 0xE007F):
-                out.append(ch)
-                continue
-        elif 0xFF01 <= code <= 0xFF65 and U.category(ch)[0] == "P":
-            before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < n else ""
-            if _is_cjk(before) or (after and _is_cjk(after)):
-                out.append(ch)
-                continue
-        out.append(new)
-    made = U.normalize("NFC", "".join(out))
-    if made.isascii():
-        return made
-    words = mixed.findall(made)
-    if all(one_script(w) == w for w in words):
+    made = _tables()[2].sub(_plain, text)
+    if not U.is_normalized("NFC", made):
+        made = U.normalize("NFC", made)
+    if made.isascii() or not _MIXED.search(made):
         return made
+    words = _ALPHABETIC.findall(made)
     letters = Counter(_script(c) for w in words for c in w)
     main = max(SCRIPTS, key=lambda s: letters[s])
-    return mixed.sub(lambda m: one_script(m.group(0), main), made)
+    return _ALPHABETIC.sub(lambda m: one_script(m.group(0), main) if _MIXED.search(m.group(0)) else m.group(0), made)
+
+
+def _plain(m: re.Match) -> str:
+    """What a character that may be replaced becomes where it stands."""
+    ch, text, i = m.group(0), m.string, m.start()
+    code = ord(ch)
+    if code in (0x200C, 0x200D, 0xFE0E, 0xFE0F) or 0xE0020 <= code <= 0xE007F:
+        before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+        if code == 0x200D and _is_symbol(before) and _is_symbol(after):
+            return ch
+        if code in (0x200C, 0x200D) and _joins(before) and _joins(after):
+            return ch
+        if code == 0xFE0F and (_is_symbol(before) or after == "\u20e3"):
+            return ch
+        if code >= 0xE0020 and (before == "\U0001f3f4" or 0xE0020 <= ord(before or "\0") <= 0xE007F):
+            return ch
+    elif 0xFF01 <= code <= 0xFF65 and U.category(ch)[0] == "P":
+        before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
+        if _is_cjk(before) or (after and _is_cjk(after)):
+            return ch
+    return _tables()[0][code]
 
 
 def compare_key(text: str) -> str:

@@ -91,18 +91,19 @@ NOTICE = re.compile(
 )
 #: Of the notices, those that are told apart inside a longer line: they begin with a capital.
 INLINE = re.compile(NOTICE.pattern, re.I)
+_STATUS_CODE = re.compile(r"\b[45]\d\d\b")
 _SENTENCES = re.compile(r"(?<=[.!?。！？:])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
 
 #: Words of which any notice has one; a line without them is not matched against the notices.
 _NOTICE_WORDS = frozenset(
-    "denied permission requested support parked sale page address nothing something gone wandered locate link server session sign down offline "
+    "denied permission requested support parked sale page address gone wandered locate link server session sign down offline "
     "closed construction maintenance soon updated enable activate allow switch turn javascript script scripts scripting cookies requires needs "
     "disabled blocked off browser loading happens content checking seconds human robot ddos ray fatal warning notice parse traceback file keyerror "
     "valueerror typeerror attributeerror nameerror indexerror runtimeerror zerodivisionerror importerror syntaxerror error exception pointer nginx "
-    "apache index reference request requests service unavailable unauthorized forbidden found gone gateway time timeout bad method denegado refusé "
+    "apache index reference request requests service unavailable unauthorized forbidden found gone gateway out bad method denegado refusé "
     "interdit verweigert запрещён запрещен закрыт доступ seite wartungsarbeiten versuchen fehler introuvable trouvée demandée que maintenance erreur "
-    "activer activez active habilite activa página mantenimiento vuelva включите страница сайт работы зайдите ошибка http status domain this that"
+    "activer activez active habilite activa página mantenimiento vuelva включите страница сайт работы зайдите ошибка http status domain oops sorry uh hmm whoops well time-out "
     .split()
 )
 _CJK_NOTICE = re.compile("javascript|ページ|メンテナンス|しばらく|アクセス|エラー|ダミー|サンプル|ここに", re.I)
@@ -110,6 +111,8 @@ _FILL_WORDS = frozenset(
     "text here description box sample dummy placeholder example copy paragraph click replace asdf qwer qwert qwerty bla xxx hier platzhaltertext "
     "blindtext texte texto текст заглушка".split()
 )
+#: A line without any of these words, marks and codes has no label.
+_ANY_WORDS = _NOTICE_WORDS | _FILL_WORDS | _FILLER_LEAD
 _MARKED = re.compile(r"[{}<>%#@*\[\]&_$]|XXX|TODO|TBD|FIXME|TK:")
 _START = re.compile(r"(?:(?<=\s)|(?<=[.!?。])|\A)(?=[A-ZÀ-ÞА-ЯЁ0-9぀-鿿])")
 
@@ -134,7 +137,7 @@ def label_sentence(text: str, words: list[str]) -> int:
     """The residue label of one sentence or line: PLACE, FILL, ERROR (a sum) or 0."""
     there = set(words)
     wide = not text.isascii() and bool(_CJK_NOTICE.search(text))
-    if there & _NOTICE_WORDS or wide or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in there):
+    if there & _NOTICE_WORDS or wide or _STATUS_CODE.search(text):
         if NOTICE.fullmatch(text):
             return ERROR
     hit = _MARKED.search(text) and (PLACEHOLDER.search(text) or _BRACKETED.search(text))
@@ -154,25 +157,38 @@ def label_sentence(text: str, words: list[str]) -> int:
 def page_units(content: str, known: dict[str, list[tuple[str, int]]]) -> list[tuple[str, int]]:
     """The sentences of a text in its one spelling, each with its label."""
     out: list[tuple[str, int]] = []
-    lines = canonical(content).split("\n")
-    for line in lines:
+    raw = content.split("\n")
+    for line in raw:
         got = known.get(line)
         if got is None:
-            whole = line.strip()
-            label = label_sentence(whole, _WORD.findall(whole.lower())) if whole else 0
-            if not whole:
-                got = []
-            elif label == ERROR:
-                got = [(whole, label)]
-            else:
-                parts = [p.strip() for p in _SENTENCES.split(whole)]
-                got = [(p, label_sentence(p, _WORD.findall(p.lower()))) for p in parts if p]
-                if label and not any(x for _, x in got):
-                    got.append((whole, label))  # a placeholder that the split cut
-            known[line] = got
+            got = known[line] = [x for part in canonical(line).split("\n") for x in _line_units(part.strip())]
         out += got
-    if len(lines) == 1 and not any(x for _, x in out) and _notice_within(lines[0]):
-        out.append((lines[0], ERROR))
+    if len(raw) == 1 and not any(x for _, x in out):
+        whole = canonical(content)
+        if _notice_within(whole):
+            out.append((whole, ERROR))
+    return out
+
+
+def _line_units(whole: str) -> list[tuple[str, int]]:
+    """The sentences of one line with their labels; a line that is a notice is one."""
+    if not whole:
+        return []
+    words = _WORD.findall(whole.lower())
+    parts = [p.strip() for p in _SENTENCES.split(whole)] if len(words) > 3 else [whole]
+    there = set(words)
+    if not (
+        there & _ANY_WORDS or _MARKED.search(whole) or _STATUS_CODE.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
+    ):
+        return [(p, 0) for p in parts if p]
+    label = label_sentence(whole, words)
+    if label == ERROR:
+        return [(whole, label)]
+    if len(parts) == 1:
+        return [(whole, label)]
+    out = [(p, label_sentence(p, _WORD.findall(p.lower()))) for p in parts if p]
+    if label and not any(x for _, x in out):
+        out.append((whole, label))  # a placeholder that the split cut
     return out
 
 
@@ -204,10 +220,12 @@ _UNITS = "id long, unit long, sim long, label int, text string"
 
 
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, list[tuple[str, int]]] = {}
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.iloc[at : at + 2000]
-            known: dict[str, list[tuple[str, int]]] = {}
+            if len(known) > 100_000:
+                known.clear()
             ids, texts, labels = [], [], []
             for i, content in zip(part["id"], part["text"]):
                 for text, label in page_units(content, known):
@@ -238,11 +256,23 @@ def _near(frontier: DataFrame, rest: DataFrame) -> DataFrame:
     Jaccard similarity of the words, are verified.
     """
     keys = F.array(*[F.expr(_block(t)) for t in range(TABLES)])
-    one = frontier.select(F.explode(keys).alias("key"), F.col("unit").alias("a"), F.col("sim").alias("sa"), F.col("text").alias("ta"))
-    two = rest.select(F.explode(keys).alias("key"), F.col("unit").alias("b"), F.col("sim").alias("sb"), F.col("text").alias("tb"))
+    one = materialised(
+        frontier.select(F.explode(keys).alias("key"), F.col("unit").alias("a"), F.col("sim").alias("sa"), F.col("text").alias("ta"))
+    )
+    # Which keys the frontier has: TABLES x 2^16 bits at most, whatever the data.
+    bitmap = np.zeros(TABLES << (BITS // TABLES), np.uint8)
+    bitmap[[r["key"] for r in one.select("key").distinct().collect()]] = 1
+    packed = np.packbits(bitmap, bitorder="little").view("<i8")
+    table = F.from_json(F.lit(str(packed.tolist())), "array<bigint>")
+    asked = [
+        F.get(table, F.shiftright(F.expr(_block(t)), 6)).bitwiseAND(F.expr(f"shiftleft(1L, ({_block(t)}) & 63)")) != 0
+        for t in range(TABLES)
+    ]
+    likely = rest.filter(asked[0] | asked[1] | asked[2] | asked[3])
+    two = likely.select(F.explode(keys).alias("key"), F.col("unit").alias("b"), F.col("sim").alias("sb"), F.col("text").alias("tb"))
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(c), r"\d+", "0"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     both = F.size(F.array_intersect(words("ta"), words("tb")))
-    close = two.join(broadcast_if_small(materialised(one), 256), "key").filter(F.expr(f"bit_count(sa ^ sb) <= {DISTANCE}"))
+    close = two.join(broadcast_if_small(one, 256), "key").filter(F.expr(f"bit_count(sa ^ sb) <= {DISTANCE}"))
     return (
         close.filter(both >= SIMILARITY * (F.size(words("ta")) + F.size(words("tb")) - both)).select("a", "b").distinct()
     )
@@ -286,7 +316,8 @@ def residue_records(pages: DataFrame, id_col: str = "id", text_col: str = "conte
     if links is not None:
         parts = connected_components(links)
         trusted = seeds.join(parts, seeds["unit"] == parts["node"]).groupBy("component").agg(F.max("label").alias("kind"))
-        there = rest.join(broadcast_if_small(parts, 16), rest["unit"] == parts["node"]).join(trusted, "component")
+        # Written first: else the pattern below would be pushed beneath the join, to every sentence.
+        there = materialised(rest.join(broadcast_if_small(parts, 16), rest["unit"] == parts["node"]).join(trusted, "component"))
         clean = there.filter(F.col("text").rlike("(?i)" + MENTION.pattern)).select("component").distinct()
         carried = there.join(clean, "component", "left_anti").select("id", "kind")
     kinds = seeded.unionByName(carried).groupBy("id").agg(F.bit_or("kind").alias("kinds"))
