@@ -55,7 +55,8 @@ def _signatures(shingle: int):
                 bands.append(key.view(np.int64))
                 keep.append(i)
                 sets.append(marks.view(np.int64))
-            yield pd.DataFrame({"key": batch["key"].to_numpy()[keep], "shingles": sets, "packed": packs, "bands": bands})
+            if keep:  # Arrow can't tell the type of an empty column of lists
+                yield pd.DataFrame({"key": batch["key"].to_numpy()[keep], "shingles": sets, "packed": packs, "bands": bands})
 
     return run
 

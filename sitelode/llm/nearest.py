@@ -161,12 +161,14 @@ def unit_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding
             x = np.array([np.asarray(v, np.float64) for v in batch["v"]]).reshape(-1, dim)
             most = np.abs(x).max(1)
             good = np.isfinite(x).all(1) & (most > 0)
+            if not good.any():
+                continue
             x = x[good] / most[good][:, None]  # squares of very large or small numbers stay in range
             x = (x / np.sqrt((x**2).sum(1))[:, None]).astype(np.float32)
             raw = [r.tobytes() for r in x]
             yield pd.DataFrame({
                 "id": batch["id"].to_numpy()[good], "v": raw,
-                "same": pd.util.hash_array(np.array([r.hex() for r in raw] or [""], dtype=object), categorize=False)[: len(raw)].view(np.int64),
+                "same": pd.util.hash_array(np.array([r.hex() for r in raw], dtype=object), categorize=False).view(np.int64),
             })[["id", "same", "v"]]
 
     return parsed.mapInPandas(scale, "id long, same long, v binary")

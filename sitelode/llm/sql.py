@@ -39,4 +39,26 @@ ORACLES = {
             FROM w, ks WHERE len(ws) >= k)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, g)
     """,
+    "p5_found": r"""
+        WITH d AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS ws FROM cleaned_pages WHERE content IS NOT NULL),
+        s AS (SELECT DISTINCT id, unnest([array_to_string(ws[p:p + 2], ' ') FOR p IN range(1, len(ws) - 1)]) AS g FROM d WHERE len(ws) >= 3),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM b JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE c >= 0.6 * (na.n + nb.n - c)
+    """,
+    "p9_items": r"""
+        WITH w AS (
+            SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+        ig AS (
+            SELECT item_id, least(12, len(ws)) AS k,
+                   unnest([array_to_string(ws[p:p + least(12, len(ws)) - 1], ' ') FOR p IN range(1, len(ws) - least(12, len(ws)) + 2)]) AS g
+            FROM i WHERE len(ws) > 0),
+        ks AS (SELECT DISTINCT k FROM ig),
+        dg AS (
+            SELECT doc_id, k, unnest([array_to_string(ws[p:p + k - 1], ' ') FOR p IN range(1, len(ws) - k + 2)]) AS g
+            FROM w, ks WHERE len(ws) >= k),
+        f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, g))
+        SELECT item_id, count(doc_id) AS n_docs FROM (SELECT DISTINCT item_id FROM eval_items WHERE item_id IS NOT NULL) e LEFT JOIN f USING (item_id) GROUP BY item_id
+    """,
 }

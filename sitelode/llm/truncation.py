@@ -14,9 +14,9 @@ from sitelode.operators.dedupe import distinct_rows
 from sitelode.session import broadcast_if_small, materialised
 
 #: A length is a limit where at least this many texts of a source have it,
-LEAST = 4
-#: and this many times the texts that have a length near it (within NEAR of it) on average.
-PEAK, NEAR = 8.0, 40
+LEAST = 5
+#: and so many standard deviations more than lengths near it (within NEAR of it) let expect.
+PEAK, NEAR = 5.0, 40
 
 #: Marks of omission at the end of a text (fixed values).
 MARK = r"\s*(?:\[(?:\.\.\.|…|more|truncated|cut)\]|\((?:\.\.\.|…|more|continued|truncated)\)|…|\.\.\.+)\s*$"
@@ -163,16 +163,16 @@ def hidden_limits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Each text is measured as stores with other encodings, entity escaping, JSON
     escaping and line ends would; texts are counted by (source, measure, length)
-    map-side.  A length is a limit where at least LEAST texts have it and PEAK
-    times as many as have each length near it on average.  Byte limits leave
-    texts one to three bytes short where a character did not fit: those are
-    counted with it.
+    map-side.  A length is a limit where at least LEAST texts have it, and PEAK
+    standard deviations more than the lengths near it let expect.  A byte limit
+    also shows as lengths one to three below it, where a character did not fit.
     """
     counts = _measured(docs, id_col, text_col, source_col).filter("length > 40").groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source", "measure").orderBy("length")
     wide = by.rangeBetween(-NEAR, NEAR)
     near = counts.withColumn("around", F.sum("n").over(wide) - F.col("n"))
-    own = near.filter((F.col("n") >= LEAST) & (F.col("n") >= PEAK * F.col("around") / (2 * NEAR)))
+    usual = F.col("around") / (2 * NEAR)
+    own = near.filter((F.col("n") >= LEAST) & (F.col("n") - usual >= PEAK * F.sqrt(usual + 1) - 1))
     return own.select("source", "measure", "length", "n")
 
 
