@@ -164,7 +164,7 @@ def canonical(text: str) -> str:
     them; wide punctuation next to Japanese text stays; look-alike letters in a
     word of two scripts are put into one.  Case, quotes and dashes stay.
     """
-    if text.isascii() and _PLAIN_TEXT.match(text):
+    if text.isascii() and (text.isprintable() or _PLAIN_TEXT.match(text)):
         return text
     made = _tables()[2].sub(_plain, text)
     if not U.is_normalized("NFC", made):

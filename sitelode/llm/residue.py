@@ -113,7 +113,7 @@ _FILL_WORDS = frozenset(
 )
 #: A line without any of these words, marks and codes has no label.
 _ANY_WORDS = _NOTICE_WORDS | _FILL_WORDS | _FILLER_LEAD
-_MARKED = re.compile(r"[{}<>%#@*\[\]&_$]|XXX|TODO|TBD|FIXME|TK:")
+_MARKED = re.compile(r"[{}<\[]|##|%[A-Z_]|&lt;|\*\||__|@@|XXX|TODO|TBD|FIXME|TK:")
 _START = re.compile(r"(?:(?<=\s)|(?<=[.!?。])|\A)(?=[A-ZÀ-ÞА-ЯЁ0-9぀-鿿])")
 
 PLACE, FILL, ERROR = 1, 2, 4
@@ -154,41 +154,43 @@ def label_sentence(text: str, words: list[str]) -> int:
     return 0
 
 
-def page_units(content: str, known: dict[str, list[tuple[str, int]]]) -> list[tuple[str, int]]:
-    """The sentences of a text in its one spelling, each with its label."""
-    out: list[tuple[str, int]] = []
+Unit = tuple[str, int, list[str]]
+
+
+def page_units(content: str, known: dict[str, list[Unit]]) -> list[Unit]:
+    """The sentences of a text in its one spelling, each with its label and its words."""
+    out: list[Unit] = []
     raw = content.split("\n")
     for line in raw:
         got = known.get(line)
         if got is None:
             got = known[line] = [x for part in canonical(line).split("\n") for x in _line_units(part.strip())]
         out += got
-    if len(raw) == 1 and not any(x for _, x in out):
+    if len(raw) == 1 and not any(x for _, x, _ in out):
         whole = canonical(content)
         if _notice_within(whole):
-            out.append((whole, ERROR))
+            out.append((whole, ERROR, _WORD.findall(whole.lower())))
     return out
 
 
-def _line_units(whole: str) -> list[tuple[str, int]]:
-    """The sentences of one line with their labels; a line that is a notice is one."""
+def _line_units(whole: str) -> list[Unit]:
+    """The sentences of one line with their labels and words; a line that is a notice is one."""
     if not whole:
         return []
-    words = _WORD.findall(whole.lower())
-    parts = [p.strip() for p in _SENTENCES.split(whole)] if len(words) > 3 else [whole]
-    there = set(words)
+    parts = [p for x in _SENTENCES.split(whole) if (p := x.strip())] if len(whole) > 12 else [whole]
+    units = [(p, _WORD.findall(p.lower())) for p in parts]
     if not (
-        there & _ANY_WORDS or _MARKED.search(whole) or _STATUS_CODE.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
-    ):
-        return [(p, 0) for p in parts if p]
-    label = label_sentence(whole, words)
-    if label == ERROR:
-        return [(whole, label)]
-    if len(parts) == 1:
-        return [(whole, label)]
-    out = [(p, label_sentence(p, _WORD.findall(p.lower()))) for p in parts if p]
-    if label and not any(x for _, x in out):
-        out.append((whole, label))  # a placeholder that the split cut
+        any(not _ANY_WORDS.isdisjoint(words) for _, words in units)
+        or _MARKED.search(whole) or _STATUS_CODE.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
+    ):
+        return [(p, 0, words) for p, words in units]
+    every = units[0][1] if len(units) == 1 else [w for _, words in units for w in words]
+    label = label_sentence(whole, every)
+    if label == ERROR or len(units) == 1:
+        return [(whole, label, every)]
+    out = [(p, label_sentence(p, words), words) for p, words in units]
+    if label and not any(x for _, x, _ in out):
+        out.append((whole, label, every))  # a placeholder that the split cut
     return out
 
 
@@ -220,22 +222,25 @@ _UNITS = "id long, unit long, sim long, label int, text string"
 
 
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[tuple[str, int]]] = {}
+    known: dict[str, list[Unit]] = {}
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.iloc[at : at + 2000]
             if len(known) > 100_000:
                 known.clear()
-            ids, texts, labels = [], [], []
+            ids, texts, labels, words = [], [], [], {}
             for i, content in zip(part["id"], part["text"]):
-                for text, label in page_units(content, known):
-                    ids.append(i)
+                units = page_units(content, known)
+                ids += [i] * len(units)
+                for text, label, own in units:
                     texts.append(text)
                     labels.append(label)
+                    words[text] = own
             if not ids:
                 continue
-            codes, distinct = pd.factorize(np.array(texts, dtype=object))
-            tokens = [["0" if w.isdigit() else w for w in _WORD.findall(t.lower())] for t in distinct]
+            place = {t: k for k, t in enumerate(words)}
+            codes = np.array([place[t] for t in texts])
+            tokens = [["0" if w.isdigit() else w for w in own] for own in words.values()]
             unit = pd.util.hash_array(np.array([" ".join(t) for t in tokens], dtype=object), categorize=False).view(np.int64)
             yield pd.DataFrame({
                 "id": np.array(ids, np.int64), "unit": unit[codes], "sim": sim_hashes(tokens)[codes],
@@ -278,7 +283,7 @@ def _near(frontier: DataFrame, rest: DataFrame) -> DataFrame:
     )
 
 
-def residue_records(pages: DataFrame, id_col: str = "id", text_col: str = "content", max_hops: int = 8) -> DataFrame:
+def residue_records(pages: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``(id, kinds)``: records with residue; kinds is a sum of 1 placeholder, 2 filler, 4 notice.
 
     The sentences of each record are labelled where patterns of unfilled
@@ -304,7 +309,7 @@ def residue_records(pages: DataFrame, id_col: str = "id", text_col: str = "conte
     seeds = materialised(frontier)
     rest = units.filter("label = 0 and sim <> 0")
     frontier, links, done = seeds, None, seeds.select("unit")
-    for _ in range(max_hops):
+    while True:  # ends: every hop takes sentences from the rest
         found = materialised(_near(frontier.select("unit", "sim", "text"), rest.join(broadcast_if_small(done, 16), "unit", "left_anti")))
         if found.isEmpty():
             break

@@ -77,7 +77,7 @@ CLEAN = [
 
 def kinds(text):
     total = 0
-    for _, label in residue.page_units(text, {}):
+    for _, label, _ in residue.page_units(text, {}):
         total |= label
     return total
 
