@@ -143,13 +143,20 @@ def slug_candidates(question: Column) -> Column:
 def match_slugs(chunks: DataFrame, pages: DataFrame, slugs: DataFrame) -> DataFrame:
     """``(query_id, slug, chunk_id)``: chunks of the pages whose url or title contains a slug.
 
-    ``slugs`` is ``(query_id, slug)``, the stated questions' few slugs.  Pages
-    are matched first, and only matching ones are joined with their chunks.
+    ``slugs`` is ``(query_id, slug)``.  A slug has at least SLUG_LEAST
+    characters, so a text that contains it has its first SLUG_LEAST as a run:
+    texts and slugs meet by an equi-join on such runs and are then compared, so
+    the work follows the matches, not pages x slugs.  Only matching pages are
+    joined with their chunks.  Slugs shorter than that are ignored.
     """
-    page = pages.select(F.col("id").alias("page_id"), F.lower("url").alias("u"), F.lower("title").alias("t"))
-    hit = F.contains(F.col("u"), F.col("slug")) | F.coalesce(F.contains(F.col("t"), F.col("slug")), F.lit(False))
-    matched = page.join(F.broadcast(slugs.select("slug").distinct().limit(100_000)), hit).select("page_id", "slug").distinct()
-    return chunks.select(F.col("id").alias("chunk_id"), "page_id").join(matched, "page_id").join(slugs, "slug").select(
+    named = slugs.filter(F.char_length("slug") >= SLUG_LEAST)
+    keyed = named.select("slug", F.substring("slug", 1, SLUG_LEAST).alias("run")).distinct()
+    texts = pages.select(F.col("id").alias("page_id"), F.explode(F.array(F.lower("url"), F.lower("title"))).alias("text"))
+    starts = F.sequence(F.lit(1), F.char_length("text") - (SLUG_LEAST - 1))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(SLUG_LEAST))))
+    shown = texts.filter(F.char_length("text") >= SLUG_LEAST).distinct().select("page_id", "text", F.explode(runs).alias("run"))
+    matched = shown.join(keyed, "run").filter(F.contains(F.col("text"), F.col("slug"))).select("page_id", "slug").distinct()
+    return chunks.select(F.col("id").alias("chunk_id"), "page_id").join(matched, "page_id").join(named, "slug").select(
         "query_id", "slug", "chunk_id"
     ).distinct()
 

@@ -16,7 +16,7 @@ from sitelode.operators import answers, chunking, crawl, dedupe, search
 from sitelode.operators.components import connected_components
 from sitelode.operators.embedding import HashEmbedder, embed, embed_missing, load_embeddings
 from sitelode.plans import pipeline
-from sitelode.session import read_table
+from sitelode.session import materialised, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,7 +148,7 @@ _FULL_SQL = (
 )
 def crawl_bfs(spark: SparkSession, root: str) -> DataFrame:
     """Urls within three links of the first page of each host, with their depth."""
-    edges = _graph(spark, root)
+    edges = materialised(_graph(spark, root))
     pages = read_table(spark, root, "pages").select("id", "url")
     firsts = pages.groupBy(urls.bare_host(F.col("url")).alias("host")).agg(F.min_by("url", "id").alias("url"))
     seeds = firsts.select(urls.normalize_url(F.col("url")).alias("url")).join(edges.select(F.col("src").alias("url")).distinct(), "url", "left_semi")
@@ -564,12 +564,13 @@ def context_block(spark: SparkSession, root: str) -> DataFrame:
 def e2e_retrieve(spark: SparkSession, root: str) -> DataFrame:
     """Pages cleaned, chunked, embedded; every session's last question answered with ranked hits."""
     raw = dedupe.latest(read_table(spark, root, "pages").distinct(), ["url"], ["scraped_at", "id"])
-    pages = pipeline.clean(raw, now="2025-01-01 00:00:00")
+    pages = materialised(pipeline.clean(raw, now="2025-01-01 00:00:00"))
     embedder = HashEmbedder()
-    made = chunking.chunk_pages(pages, embedder).withColumn("id", F.xxhash64("page_id", "chunk_index"))
-    vectors_ = made.select("id", embed(F.col("content"), embedder).alias("v"))
+    made = materialised(chunking.chunk_pages(pages, embedder).withColumn("id", F.xxhash64("page_id", "chunk_index")))
+    vectors_ = materialised(made.select("id", embed(F.col("content"), embedder).alias("v")))
     turns = read_table(spark, root, "chat_turns").select("session_id", "turn", "question").distinct()
     asked = dedupe.latest(turns, ["session_id"], ["turn"]).select(F.xxhash64("session_id").alias("query_id"), "question")
+    asked = materialised(asked)
     return search.retrieve(asked, made, pages, asked.select("query_id", embed(F.col("question"), embedder).alias("v")), vectors_)
 
 
