@@ -31,7 +31,7 @@ _URL = re.compile(r"(?:https?://|www\.)\S+$")
 _SIGNED = re.compile(r"[—–-]\s?\w[\w’'-]*(?: [\w’'-]+)*(?:, \w[\w’'-]*(?: [\w’'-]+)*)?$")
 _ROLE = re.compile(r"(?:head|director|editor|manager|chief|founder|owner|professor|dr)\b.{0,40}, \w[\w’'-]+$|(?:head|director|editor|manager|chief) of [\w’' -]+$", re.I)
 _TAGS = re.compile(r"(?:#\w[\w-]*\s*)+$")
-_FIELD = re.compile(r"[^\W\d_][\w /-]{0,24}:\s")
+_FIELD = re.compile(r"[^\W\d_][\w/-]*(?: [\w/-]+){0,2}:\s+\S+(?: \S+){0,4}$")
 _SPEAKER = re.compile(r"(?:q|a|agent|customer|user|client|visitor|assistant|support|question|answer)\s?:", re.I)
 _CODE_NUMBER = re.compile(r"SKU\s+[A-Z]+-\d{5}$")
 
@@ -97,7 +97,7 @@ def judge_end(text: str) -> int:
         return COMPLETE if _CODE_NUMBER.match(last) else CUT
     if _SPEAKER.match(last):
         return CUT
-    if _FIELD.match(last) and len(last) < 60:
+    if _FIELD.match(last):
         return OPEN if re.search(r"\d$|cm$|kg$|\w$", last) and not re.search(r"\bx$|:\s*$", last) else CUT
     if any(c in last for c in "{}<>;") and re.search(r"[{}]|</?\w|;\s*$|\w\(", last) and not re.search(r"[^\W\d_]{3,}(?: [^\W\d_]+){7,}", last):
         opened = sum(last.count(c) for c in "({[") - sum(last.count(c) for c in ")}]")

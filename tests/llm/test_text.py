@@ -203,7 +203,7 @@ def test_complete_ends(text):
     "text",
     [
         "All is well. The lamp of", "All is well. The la", "All is well. The la…", "All is well. We moved [...]", "All is well. We...", LIST + "* fine ru", LIST + "*", LIST + "* fine rug, 3 in st", LIST + "- x, $",
-        "A rug.\nSKU BRAV", "Q: Is it?\nA:", "これは本です。それは机で", "Fine lamps Lowick\nWe measured", "All is well. One,", "All is well. (", "Code.\nfor (i = 0; i < 3; i++) { sho", "All is well.\nUn",
+        "A rug.\nSKU BRAV", "Q: Is it?\nA:", "これは本です。それは机で", "Fine lamps Lowick\nWe measured", "All is well. One,", "All is well. (", "Code.\nfor (i = 0; i < 3; i++) { sho", "All is well.\nUn", "All is well.\nYour desk is safe with us: 66 modules a night watch the b",
     ],
 )
 def test_cut_ends(text):
