@@ -166,6 +166,14 @@ def canonical(text: str) -> str:
     """
     if text.isascii() and (text.isprintable() or _PLAIN_TEXT.match(text)):
         return text
+    made = _once(text)
+    while made != text:  # what was taken out may leave a joiner without what it joined
+        text, made = made, _once(made)
+    return made
+
+
+def _once(text: str) -> str:
+    """One pass of :func:`canonical`."""
     made = _tables()[2].sub(_plain, text)
     if not U.is_normalized("NFC", made):
         made = U.normalize("NFC", made)
