@@ -325,3 +325,47 @@ def test_leaks_against_brute_force(spark):
     counts = dict(rows(leakage.leaked_items(d, i)))
     assert counts == {k: len({a for a, b in truth if b == k}) for k, _ in items}
     assert rows(leakage.leaks(d.limit(0), i)) == [] == rows(leakage.leaks(d, i.limit(0)))
+
+
+def planted_lines(n_lines=4_000, n_pairs=60, size=12, vocabulary=2_000):
+    """Random word sets of one site and pairs of them that differ in one word."""
+    rng = np.random.default_rng(9)
+    sets = [rng.choice(vocabulary, size, replace=False) for _ in range(n_lines)]
+    pairs = []
+    for i in range(n_pairs):
+        near = sets[i].copy()
+        near[rng.integers(size)] = vocabulary + i
+        pairs.append((i, len(sets)))
+        sets.append(near)
+    return [repeated._word_sets([" ".join(f"w{x}" for x in s)])[0] for s in sets], pairs
+
+
+def test_near_duplicate_lines_of_a_large_site(spark):
+    # Unrelated lines of few different words, and 20 lines that five records each have with one word of their own.
+    rng = np.random.default_rng(10)
+    line = lambda ws: " ".join("w" + "".join(chr(97 + int(c)) for c in str(x)) for x in ws)
+    texts = [[line(rng.choice(80, 12, replace=False)) for _ in range(150)] for _ in range(40)]
+    planted = set()
+    for group in range(20):
+        base = list(rng.choice(80, 12, replace=False))
+        for k in range(5):
+            texts[(group + 8 * k) % 40].append(line(base[:6] + [1_000 + 10 * group + k] + base[7:]))
+            planted.add(((group + 8 * k) % 40, len(texts[(group + 8 * k) % 40])))
+    df = spark.createDataFrame([(i, "http://a.org/", "\n".join(x)) for i, x in enumerate(texts)], "id long, url string, content string")
+    got = set(map(tuple, repeated.repeated_lines(df).collect()))
+    assert len(got & planted) >= 0.97 * len(planted) and got <= planted
+
+
+def test_bucket_links_against_brute_force():
+    sets, pairs = planted_lines(n_lines=250, n_pairs=50, vocabulary=25)
+
+    def parts(links):
+        part = list(range(len(sets)))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return {frozenset(i for i, q in enumerate(part) if q == p) for p in part}
+
+    own = [set(s.tolist()) for s in sets]
+    brute = [(a, b) for a in range(len(own)) for b in range(a) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    assert set(pairs) <= {(b, a) for a, b in brute}
+    assert parts(repeated.bucket_links(np.arange(len(sets)), sets, 0.8)) == parts(brute)
