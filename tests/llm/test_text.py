@@ -111,6 +111,42 @@ def test_residue_is_carried_to_near_duplicates(spark):
     assert got.get(1) == 4 and 3 not in got
 
 
+def near_sentences(n=1_500):
+    """Sentences of 5 to 30 words and others with a word similarity of at least 0.8 to them."""
+    rng = np.random.default_rng(12)
+    seeds, others = [], []
+    for size in rng.integers(5, 31, n):
+        words = [f"w{x}y" for x in rng.choice(20_000, size, replace=False)]
+        near = list(words)
+        if size < 9:
+            near.append("onemore")
+        else:
+            for k in rng.choice(size, max(1, size // 9 - 1), replace=False):
+                near[k] = f"v{rng.integers(20_000)}y"
+        seeds.append(words)
+        others.append(near)
+    return seeds, others
+
+
+def test_residue_candidates_against_brute_force():
+    seeds, others = near_sentences()
+    like = [len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in zip(seeds, others)]
+    assert min(like) >= 0.8
+    one, two = residue.sim_hashes(seeds), residue.sim_hashes(others)
+    keys = list(residue._table_keys(one))
+    order = [np.argsort(k, kind="stable") for k in keys]
+    a, b = residue.candidates(one, [k[o] for k, o in zip(keys, order)], order, two)
+    assert (a == b).sum() >= 0.97 * len(seeds)
+
+
+def test_residue_of_one_other_word_is_carried(spark):
+    notices = [f"Sorry, the page that you asked for {x} is not in the catalogue" for x in ("today", "here", "again", "now")]
+    data = [(i, t) for i, t in enumerate(notices)] + [(10 + i, t.replace("Sorry", "Alas")) for i, t in enumerate(notices)]
+    data += [(20, "The page that we read for a lantern is in the catalogue of the fair")]
+    got = dict(rows(residue.residue_records(spark.createDataFrame(data, "id long, content string"))))
+    assert got == {i: 4 for i in (0, 1, 2, 3, 10, 11, 12, 13)}
+
+
 # ------------------------------------------------------------------ main body
 
 
