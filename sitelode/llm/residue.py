@@ -95,11 +95,12 @@ NOTICE = re.compile(
 )
 #: Of the notices, those that are told apart inside a longer line: they begin with a capital.
 INLINE = re.compile(NOTICE.pattern, re.I)
-_STATUS_CODE = re.compile(r"\b[45]\d\d\b")
+#: Parts of notices that may stand within a longer word.
+_GLUED = re.compile(r"(?<!\d)[45]\d\d|pointer|unhandled|uncaught", re.I)
 _SENTENCES = re.compile(r"(?<=[.!?。！？:])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
 
-#: Words of which any notice has one; a line without them is not matched against the notices.
+#: Words of which any notice has one, unless it has a part in _GLUED; a line without them is not matched against the notices.
 _NOTICE_WORDS = frozenset(
     "denied permission requested support parked sale page address gone wandered locate link server session sign down offline "
     "closed construction maintenance soon updated enable activate allow switch turn javascript script scripts scripting cookies requires needs "
@@ -107,7 +108,8 @@ _NOTICE_WORDS = frozenset(
     "valueerror typeerror attributeerror nameerror indexerror runtimeerror zerodivisionerror importerror syntaxerror error exception pointer nginx "
     "apache index reference request requests service unavailable unauthorized forbidden found gone gateway out bad method denegado refusé "
     "interdit verweigert запрещён запрещен закрыт доступ seite wartungsarbeiten versuchen fehler introuvable trouvée demandée que maintenance erreur "
-    "activer activez active habilite activa página mantenimiento vuelva включите страница сайт работы зайдите ошибка http status domain oops sorry uh hmm whoops well time-out "
+    "activer activez active habilite activa página mantenimiento vuelva включите страница сайт работы зайдите ошибка http status domain oops sorry uh uhoh hmm whoops well time-out "
+    "site temporarily currently being under connect skripte технические"
     .split()
 )
 _CJK_NOTICE = re.compile("javascript|ページ|メンテナンス|しばらく|アクセス|エラー|ダミー|サンプル|ここに", re.I)
@@ -125,7 +127,7 @@ PLACE, FILL, ERROR = 1, 2, 4
 
 def _notice_within(text: str) -> bool:
     """Whether a notice begins at a capitalised word of a text of one line, outside a sentence about such things."""
-    if not (_NOTICE_WORDS.intersection(_WORD.findall(text.lower())) or _CJK_NOTICE.search(text) or re.search(r"\b[45]\d\d\b", text)):
+    if not (_NOTICE_WORDS.intersection(_WORD.findall(text.lower())) or _CJK_NOTICE.search(text) or _GLUED.search(text)):
         return False
     for m in _START.finditer(text):
         hit = INLINE.match(text, m.start())
@@ -141,7 +143,7 @@ def label_sentence(text: str, words: list[str]) -> int:
     """The residue label of one sentence or line: PLACE, FILL, ERROR (a sum) or 0."""
     there = set(words)
     wide = not text.isascii() and bool(_CJK_NOTICE.search(text))
-    if there & _NOTICE_WORDS or wide or _STATUS_CODE.search(text):
+    if there & _NOTICE_WORDS or wide or _GLUED.search(text):
         if NOTICE.fullmatch(text):
             return ERROR
     hit = _MARKED.search(text) and (PLACEHOLDER.search(text) or _BRACKETED.search(text))
@@ -185,7 +187,7 @@ def _line_units(whole: str) -> list[Unit]:
     units = [(p, _WORD.findall(p.lower())) for p in parts]
     if not (
         any(not _ANY_WORDS.isdisjoint(words) for _, words in units)
-        or _MARKED.search(whole) or _STATUS_CODE.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
+        or _MARKED.search(whole) or _GLUED.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
     ):
         return [(p, 0, words) for p, words in units]
     every = units[0][1] if len(units) == 1 else [w for _, words in units for w in words]

@@ -1,5 +1,8 @@
 """Spelling, residue, main body, truncation: hand-made cases, held-out accuracy and edge cases."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -111,6 +114,50 @@ def test_residue_is_carried_to_near_duplicates(spark):
     assert got.get(1) == 4 and 3 not in got
 
 
+def example(tree, rng):
+    """A random text that the parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "ANY":
+            out += rng.choice("x ")
+        elif op == "IN":
+            out += example([rng.choice([x for x in arg if str(x[0]) != "NEGATE"])], rng)
+        elif op == "RANGE":
+            out += chr(rng.randint(*arg))
+        elif op == "CATEGORY":
+            out += {"CATEGORY_DIGIT": "7", "CATEGORY_NOT_WORD": " "}[str(arg)]
+        elif op == "BRANCH":
+            out += example(rng.choice(arg[1]), rng)
+        elif op == "SUBPATTERN":
+            out += example(arg[-1], rng)
+        elif op == "MAX_REPEAT":
+            least, most, inner = arg
+            out += "".join(example(inner, rng) for _ in range(rng.randint(least, min(most, least + 6))))
+    return out
+
+
+def test_notice_gate_lets_every_alternative_through():
+    rng = random.Random(3)
+    tree = re._parser.parse(residue.NOTICE.pattern, re.I)
+    assert len(tree) == 1 and str(tree[0][0]) == "BRANCH"
+    for branch in tree[0][1][1]:
+        texts = {" ".join(example(branch, rng).split()) for _ in range(400)}
+        texts = {t for t in texts if residue.NOTICE.fullmatch(t)}
+        assert texts
+        for text in texts:
+            assert residue.label_sentence(text, residue._WORD.findall(text.lower())) == residue.ERROR, text
+            assert residue._line_units(text)[0][1] == residue.ERROR, text
+
+
+@pytest.mark.parametrize("text", ["This shop is currently being rebuilt.", "This store is temporarily paused.", "We are under heavy load.", "This site is under repair."])
+def test_notices_of_common_words(text):
+    assert kinds(text) == 4 == kinds("A fine lantern.\n" + text)
+    assert residue._notice_within("A lantern " + text)
+
+
 def near_sentences(n=1_500):
     """Sentences of 5 to 30 words and others with a word similarity of at least 0.8 to them."""
     rng = np.random.default_rng(12)
