@@ -590,6 +590,12 @@ def link_components(spark: SparkSession, root: str) -> DataFrame:
     return connected_components(edges)
 
 
+@_query()
+def page_components(spark: SparkSession, root: str) -> DataFrame:
+    """Connected components of all links between pages; no SQL, as a recursive one walks every path."""
+    return connected_components(_graph(spark, root), "src", "dst")
+
+
 @_query(
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
     SELECT user_id, event_type, event_id, value FROM r WHERE n = 1"""

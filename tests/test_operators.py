@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitelode.operators import answers, chunking, crawl, dedupe, search
 from sitelode.operators.components import connected_components
 from sitelode.operators.embedding import HashEmbedder, embed, embed_missing, load_embeddings
-from sitelode.plans import pipeline
+from sitelode.plans import catalogue, pipeline
 from sitelode.schemas import CHUNKS, RAW_PAGES
 from sitelode.session import release_materialised
 from sitelode.sources import dumps, sqlite
@@ -249,3 +249,20 @@ def test_embed_interface(spark):
     got = [r["v"] for r in df.select(embed(F.col("t"), HashEmbedder(4), batch=1).alias("v")).collect()]
     assert np.linalg.norm(got[0]) == pytest.approx(1) and list(got[1]) == [0.0] * 4 == list(got[2])
     release_materialised()
+
+
+def test_page_components_take_the_whole_table(spark):
+    # sf0.001 of the test tables: every link counts, against union-find.
+    root = "/root/testdata/sf0.001"
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in catalogue._graph(spark, root).collect():
+        one, two = find(a), find(b)
+        up[max(one, two)] = min(one, two)
+    got = dict(map(tuple, catalogue.QUERIES["page_components"](spark, root).collect()))
+    assert got == {x: find(x) for x in list(up)} and set(got) == set(up) and got
