@@ -369,3 +369,19 @@ def test_bucket_links_against_brute_force():
     brute = [(a, b) for a in range(len(own)) for b in range(a) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
     assert set(pairs) <= {(b, a) for a, b in brute}
     assert parts(repeated.bucket_links(np.arange(len(sets)), sets, 0.8)) == parts(brute)
+
+
+def test_repeated_line_of_several_spellings(spark):
+    # Three records in each of two files, one spelling a file; the bound is five records.
+    make = lambda i, line: (i, "http://a.org/", f"{line}\nown line {'abcdefgh'[i]} of this record")
+    one = [make(i, "Share on Facebook") for i in range(3)]
+    two = [make(i, "SHARE ON FACEBOOK") for i in range(3, 6)]
+    parts = [spark.createDataFrame(x, "id long, url string, content string").coalesce(1) for x in (one, two)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")  # each record is a batch of its own
+    try:
+        got = rows(repeated.repeated_lines(parts[0].unionByName(parts[1]), exact=True))
+    finally:
+        spark.conf.set(batch, before)
+    assert [(i, 1) for i in range(6)] == [x for x in got if x[1] == 1]
