@@ -385,3 +385,30 @@ def test_repeated_line_of_several_spellings(spark):
     finally:
         spark.conf.set(batch, before)
     assert [(i, 1) for i in range(6)] == [x for x in got if x[1] == 1]
+
+
+def test_unrelated_long_lines_stay(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**7, n)) for n in np.linspace(60, 5_000, 50).astype(int)]
+    df = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(texts)], "id long, url string, content string")
+    assert dict(rows(repeated.without_repeated(df))) == dict(enumerate(texts))
+
+
+def test_lines_alike_only_once_masked(spark):
+    towns = ["Oakford", "Elmwick", "Ashby", "Birchton", "Pineham", "Cedarly", "Rowanby", "Hazelton", "Willowmere", "Aldertown"]
+    texts = [f"Weight: {i}.5 kg\nThe shop of {t} opens at {i} and closes late\nBy Anna {t}, {i + 1} May 2020" for i, t in enumerate(towns)]
+    df = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(texts)], "id long, url string, content string")
+    got = dict(rows(repeated.without_repeated(df)))
+    assert got == {i: "\n".join(t.split("\n")[:2]) for i, t in enumerate(texts)}  # only the bylines go
+    everywhere = {p for p in rows(repeated.repeated_lines(df, mask_everywhere=True))}
+    assert {(i, k) for i in range(10) for k in (1, 2, 3)} == everywhere
+
+
+def test_hubs_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(repeated, "PAIRED", 1)
+    monkeypatch.setattr(repeated, "GROUPED", 2)
+    monkeypatch.setattr(repeated, "HUBS", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [f"notice {letters[i]} all goods of this shop are sold as seen with no return at any later time" for i in range(20)]
+    df = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(own)], "id long, url string, content string")
+    assert {i for i, _ in rows(repeated.repeated_lines(df))} == set(range(20))
