@@ -396,7 +396,7 @@ def test_unrelated_long_lines_stay(spark):
 
 def test_lines_alike_only_once_masked(spark):
     towns = ["Oakford", "Elmwick", "Ashby", "Birchton", "Pineham", "Cedarly", "Rowanby", "Hazelton", "Willowmere", "Aldertown"]
-    texts = [f"Weight: {i}.5 kg\nThe shop of {t} opens at {i} and closes late\nBy Anna {t}, {i + 1} May 2020" for i, t in enumerate(towns)]
+    texts = [f"Weight: {i}.5 kg\nThe {t} shop at {t} road opens at {i}\nBy Anna {t}, {i + 1} May 2020" for i, t in enumerate(towns)]
     df = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(texts)], "id long, url string, content string")
     got = dict(rows(repeated.without_repeated(df)))
     assert got == {i: "\n".join(t.split("\n")[:2]) for i, t in enumerate(texts)}  # only the bylines go
