@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as U
 from collections import Counter
 from functools import lru_cache
@@ -27,6 +26,14 @@ _ARABIC_LIKE = ("ARABIC", "SYRIAC", "NKO", "MONGOLIAN", "DEVANAGARI", "BENGALI",
                 "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR")
 
 
+#: Code points with the property Default_Ignorable_Code_Point that aren't of category Cf, as ranges.
+IGNORABLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164),
+             (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
+#: Characters of category Cf that are seen (number, verse and abbreviation signs).
+SEEN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+BLANK_BRAILLE = "\u2800"
+
+
 def _replacement(ch: str) -> str | None:
     """What a character becomes by itself, None where it stays."""
     kind = U.category(ch)
@@ -37,35 +44,43 @@ def _replacement(ch: str) -> str | None:
     if kind == "Cc":
         return "\n" if ch in "\x0b\x0c\x85" else ""
     if kind == "Cf":
-        return "" if not 0x0600 <= ord(ch) <= 0x08FF else None  # Arabic number signs are visible
-    if ch in "͏ᅟᅠ឴឵ㅤﾠ" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0000 <= ord(ch) <= 0xE0FFF or 0x180B <= ord(ch) <= 0x180F:
+        return None if ch in SEEN else ""
+    if any(a <= ord(ch) <= b for a, b in IGNORABLE):
         return ""
+    if ch == BLANK_BRAILLE:
+        return " "
     how = U.decomposition(ch).split(" ")[0]
     if how in _PLAIN:
         return U.normalize("NFKC", ch)
     if how == "<compat>":
         plain = U.normalize("NFKC", ch)
+        if U.name(ch, "").startswith(("KANGXI RADICAL", "CJK RADICAL")):
+            return plain
         # Ligatures, digraphs and letter-like numerals read as plain letters; signs such as an ellipsis do not.
         if kind[0] == "L" or kind == "Nl":
             return plain if all(U.category(c)[0] in "LM" for c in plain) else None
     return None
 
 
+class _Single(dict):
+    """Code -> replacement of a character, "" where it goes, None where it stays; found when first asked for."""
+
+    def __missing__(self, code: int) -> str | None:
+        got = self[code] = "" if code == 0x7F else _replacement(chr(code))
+        return got
+
+
+_SINGLE = _Single()
+#: Characters that are looked up; letters of the usual alphabets and CJK ideographs and syllables never change.
+_SPECIAL = re.compile(
+    "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa9\xab-\xb9\xbb-\xbf\u0130-\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u02b0-\u0385\u0387\u03cf-\u03ff"
+    "\u0482-\u0489\u0530-\u3000\u3004-\u3040\u3094-\u30a0\u30fb\u30ff-\u33ff\u4dc0-\u4dff\ua000-\uabff\ud7a4-\U00016fff\U0001bca0-\U0001bca3\U0001b000-\U0001f2ff\U0001fa70-\U0001ffff\U0002f800-\U0002fa1f\U000e0000-\U0010ffff]"
+)
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str], dict[str, dict[str, dict[str, str]]], re.Pattern]:
-    """Replacements of single characters, look-alikes by (to, from) script, and the class of the former."""
-    single = {}
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0x3400 <= code <= 0xD7A3 or 0x17000 <= code <= 0x1CFFF:
-            continue
-        new = _replacement(chr(code))
-        if new is not None:
-            single[code] = new
-    for code in range(0x20):
-        new = _replacement(chr(code))
-        if new is not None:
-            single[code] = new
-    single[0x7F] = ""
+def _maps() -> dict[str, dict[str, dict[str, str]]]:
+    """Look-alikes by (to, from) script."""
     maps: dict[str, dict[str, dict[str, str]]] = {a: {b: {} for b in SCRIPTS} for a in SCRIPTS}
     for row in LOOKALIKES.replace("\n", "|").split("|"):
         letters = row.split()
@@ -73,15 +88,7 @@ def _tables() -> tuple[dict[int, str], dict[str, dict[str, dict[str, str]]], re.
             for b, y in zip(SCRIPTS, letters):
                 if a != b and x != "-" and y != "-":
                     maps[b].setdefault(a, {})[x] = y
-    # One class of all characters that may be replaced, as ranges.
-    codes = sorted(single)
-    ranges, begin = [], codes[0]
-    for i, code in enumerate(codes):
-        if i + 1 == len(codes) or codes[i + 1] != code + 1:
-            ranges.append((begin, code))
-            begin = codes[i + 1] if i + 1 < len(codes) else 0
-    special = re.compile("[" + "".join(re.escape(chr(x)) + ("-" + re.escape(chr(y)) if y > x else "") for x, y in ranges) + "]")
-    return single, maps, special
+    return maps
 
 
 _LATIN, _GREEK, _CYRILLIC, _ACCENT = "A-Za-zÀ-ɏ", "Ͱ-Ͽ", "Ѐ-ԯ", "\u0300-\u036f"
@@ -120,7 +127,7 @@ def one_script(word: str, main: str = "LATIN") -> str:
     whole, word = word, U.normalize("NFD", word)  # an accent may stand on a look-alike letter
     scripts = [_script(c) for c in word]
     there = {s for s in scripts if s}
-    maps = _tables()[1]
+    maps = _maps()
     best, rank = whole, None
     for k, to in enumerate(SCRIPTS):
         if to not in there:
@@ -174,7 +181,7 @@ def canonical(text: str) -> str:
 
 def _once(text: str) -> str:
     """One pass of :func:`canonical`."""
-    made = _tables()[2].sub(_plain, text)
+    made = _SPECIAL.sub(_plain, text)
     if not U.is_normalized("NFC", made):
         made = U.normalize("NFC", made)
     if made.isascii() or not _MIXED.search(made):
@@ -189,6 +196,9 @@ def _plain(m: re.Match) -> str:
     """What a character that may be replaced becomes where it stands."""
     ch, text, i = m.group(0), m.string, m.start()
     code = ord(ch)
+    new = _SINGLE[code]
+    if new is None:
+        return ch
     if code in (0x200C, 0x200D, 0xFE0E, 0xFE0F) or 0xE0020 <= code <= 0xE007F:
         before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
         if code == 0x200D and _is_symbol(before) and _is_symbol(after):
@@ -203,7 +213,7 @@ def _plain(m: re.Match) -> str:
         before, after = text[i - 1] if i else "", text[i + 1] if i + 1 < len(text) else ""
         if _is_cjk(before) or (after and _is_cjk(after)):
             return ch
-    return _tables()[0][code]
+    return new
 
 
 def compare_key(text: str) -> str:
@@ -211,6 +221,21 @@ def compare_key(text: str) -> str:
     return U.normalize("NFC", " ".join(canonical(text).casefold().split()))
 
 
+def folded_values(df: DataFrame, column: str) -> DataFrame:
+    """``(value, key, n)``: each distinct value of ``column``, its key for comparisons, its rows.
+
+    The values are counted map-side first and each is folded once (see
+    :func:`compare_key`).  Null values: no row.  The empty value has the empty key.
+    """
+
+    @F.pandas_udf("string")
+    def key(text: pd.Series) -> pd.Series:
+        return pd.Series([compare_key(t) for t in text], dtype=object)
+
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return counted.select("value", key("value").alias("key"), "n")
+
+
 def canonical_column():
     """A pandas UDF: text -> its one form, each distinct value of a batch computed once."""
 

@@ -21,6 +21,13 @@ def p1_normalised(spark: SparkSession, root: str) -> DataFrame:
     return canonical.normalise(distinct_rows(pages, "id"), ["title", "content"])
 
 
+def p1_titles(spark: SparkSession, root: str) -> DataFrame:
+    """Titles of pages that differ in spelling and case only: key, distinct spellings, records."""
+    pages = distinct_rows(read_table(spark, root, "pages").select("id", "title"), "id")
+    values = canonical.folded_values(pages, "title")
+    return values.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("records"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Records of pages with template residue, filler or an error message for a text."""
     return residue.residue_records(read_table(spark, root, "pages")).select("id")
@@ -115,5 +122,5 @@ def p10_limits(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_normalised, p2_found, p2_kept, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)
+    for f in (p1_found, p1_normalised, p1_titles, p2_found, p2_kept, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)
 }

@@ -314,3 +314,16 @@ def test_truncation_edges(spark):
     assert len(rows(truncation.truncated(df))) == 5
     assert rows(truncation.truncated(df.limit(0))) == [] == rows(truncation.source_shares(df.limit(0))) == rows(truncation.hidden_limits(df.limit(0)))
     assert {r["source"]: r["n_docs"] for r in truncation.source_shares(df).collect()} == {"s": 3, None: 2}
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [("a\u061cb", "ab"), ("a\u2065b", "ab"), ("a\ufff3b", "ab"), ("a\u2800b", "a b"), ("\u2f08\u2f00", "人一"), ("\u0601", "\u0601"), ("\u00b5m", "\u03bcm")],
+)
+def test_ignorable_and_radicals(raw, expected):
+    assert canonical.canonical(raw) == expected
+
+
+def test_folded_values(spark):
+    df = spark.createDataFrame([("Stra\u00dfe",), ("STRASSE",), ("STRASSE",), (None,), ("",)], "title string")
+    assert sorted(map(tuple, canonical.folded_values(df, "title").collect())) == [("", "", 1), ("STRASSE", "strasse", 2), ("Stra\u00dfe", "strasse", 1)]
