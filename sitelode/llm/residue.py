@@ -224,15 +224,16 @@ def sim_hashes(token_lists: list[list[str]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-_UNITS = "id long, unit long, sim long, label int, text string"
+_UNITS = "id long, unit long, label int, sim long, text string"
 
 
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(id, unit, label, sim, text)`` of every sentence; SimHash and text once a unit of some 2,000 records."""
     known: dict[str, list[Unit]] = {}
     for batch in batches:
         for at in range(0, len(batch), 2000):
             part = batch.iloc[at : at + 2000]
-            if len(known) > 100_000:
+            if len(known) > 200_000:
                 known.clear()
             ids, texts, labels, words = [], [], [], {}
             for i, content in zip(part["id"], part["text"]):
@@ -248,10 +249,16 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes = np.array([place[t] for t in texts])
             tokens = [["0" if w.isdigit() else w for w in own] for own in words.values()]
             unit = pd.util.hash_array(np.array([" ".join(t) for t in tokens], dtype=object), categorize=False).view(np.int64)
-            yield pd.DataFrame({
-                "id": np.array(ids, np.int64), "unit": unit[codes], "sim": sim_hashes(tokens)[codes],
-                "label": np.array(labels, np.int32), "text": texts,
-            })
+            label = np.array(labels, np.int32)
+            # Of a unit's sentences one stands for it, a labelled one if there is one.
+            order = np.lexsort((-label, unit[codes]))
+            first = order[np.unique(unit[codes][order], return_index=True)[1]]
+            chosen = codes[first]
+            sims = np.zeros(len(codes), np.int64)
+            sims[first] = sim_hashes([tokens[k] for k in chosen])
+            shown = np.full(len(codes), None, object)
+            shown[first] = np.array(list(words), dtype=object)[chosen]
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "unit": unit[codes], "label": label, "sim": sims, "text": shown})
 
 
 _DRAWN = np.random.default_rng(3)
@@ -352,31 +359,44 @@ def residue_records(pages: DataFrame, id_col: str = "id", text_col: str = "conte
     own = distinct_rows(pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
     units = materialised(own.filter("text is not null").mapInPandas(_unit_rows, _UNITS))
     seeded = units.filter("label <> 0").select("id", F.col("label").alias("kind"))
-    per_unit = lambda d: d.groupBy("unit").agg(
-        F.first("sim").alias("sim"), F.first("text").alias("text"), F.max("label").alias("label")
-    )
-    frontier = per_unit(units.filter("label in (2, 4) and sim <> 0"))
-    seeds = materialised(frontier)
-    rest = units.filter("label = 0 and sim <> 0")
-    frontier, links, done = seeds, None, seeds.select("unit")
+    parts = linked_units(units)
+    carried = seeded.limit(0)
+    if parts is not None:
+        carried = units.filter("label = 0").select("id", "unit").join(broadcast_if_small(parts, 16), "unit").select("id", "kind")
+    return seeded.unionByName(carried).groupBy("id").agg(F.bit_or("kind").alias("kinds"))
+
+
+def linked_units(units: DataFrame) -> DataFrame | None:
+    """``(unit, kind)``: sentences that the links connect with trusted residue, None without a link.
+
+    ``units`` has ``(unit, label, sim, text)``, the text null but once a unit or
+    more often.  Each distinct sentence is searched once, however many records
+    have it.
+    """
+    each = units.filter("text is not null and sim <> 0").groupBy("unit").agg(
+        F.max(F.struct("label", "text", "sim")).alias("u")
+    )
+    each = materialised(each.select("unit", "u.sim", "u.label", "u.text"))
+    seeds = each.filter("label in (2, 4)")
+    rest = each.filter("label = 0").select("unit", "sim", "text")
+    frontier, links, done = seeds.select("unit", "sim", "text"), None, None
     while True:  # ends: every hop takes sentences from the rest
-        found = materialised(_near(frontier.select("unit", "sim", "text"), rest.join(broadcast_if_small(done, 16), "unit", "left_anti")))
+        left = rest if done is None else rest.join(broadcast_if_small(done, 16), "unit", "left_anti")
+        found = materialised(_near(frontier, left))
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        new = found.select(F.col("b").alias("unit")).distinct()
-        frontier = materialised(per_unit(rest.join(broadcast_if_small(new, 16), "unit", "left_semi")))
-        done = materialised(done.unionByName(frontier.select("unit")))
-    carried = seeded.limit(0)
-    if links is not None:
-        parts = connected_components(links)
-        trusted = seeds.join(parts, seeds["unit"] == parts["node"]).groupBy("component").agg(F.max("label").alias("kind"))
-        # Written first: else the pattern below would be pushed beneath the join, to every sentence.
-        there = materialised(rest.join(broadcast_if_small(parts, 16), rest["unit"] == parts["node"]).join(trusted, "component"))
-        clean = there.filter(F.col("text").rlike("(?i)" + MENTION.pattern)).select("component").distinct()
-        carried = there.join(clean, "component", "left_anti").select("id", "kind")
-    kinds = seeded.unionByName(carried).groupBy("id").agg(F.bit_or("kind").alias("kinds"))
-    return kinds
+        new = materialised(found.select(F.col("b").alias("unit")).distinct())
+        frontier = rest.join(broadcast_if_small(new, 16), "unit", "left_semi")
+        done = new if done is None else done.unionByName(new)
+    if links is None:
+        return None
+    parts = materialised(connected_components(links))
+    trusted = seeds.join(broadcast_if_small(parts, 16), seeds["unit"] == parts["node"]).groupBy("component").agg(F.max("label").alias("kind"))
+    # Written first: else the pattern below would be pushed beneath the join, to every sentence.
+    there = materialised(rest.join(broadcast_if_small(parts, 16), rest["unit"] == parts["node"]).join(trusted, "component"))
+    clean = there.filter(F.col("text").rlike("(?i)" + MENTION.pattern)).select("component").distinct()
+    return materialised(there.join(clean, "component", "left_anti").select("unit", "kind"))
 
 
 def without_residue(pages: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
