@@ -96,9 +96,11 @@ NOTICE = re.compile(
 #: Of the notices, those that are told apart inside a longer line: they begin with a capital.
 INLINE = re.compile(NOTICE.pattern, re.I)
 #: Parts of notices that may stand within a longer word.
-_GLUED = re.compile(r"(?<!\d)[45]\d\d|pointer|unhandled|uncaught", re.I)
+_GLUED = ("pointer", "unhandled", "uncaught")
+_CODE = re.compile(r"(?<!\d)[45]\d\d")
 _SENTENCES = re.compile(r"(?<=[.!?。！？:])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 
 #: Words of which any notice has one, unless it has a part in _GLUED; a line without them is not matched against the notices.
 _NOTICE_WORDS = frozenset(
@@ -125,9 +127,17 @@ _START = re.compile(r"(?:(?<=\s)|(?<=[.!?。])|\A)(?=[A-ZÀ-ÞА-ЯЁ0-9぀-鿿]
 PLACE, FILL, ERROR = 1, 2, 4
 
 
+def _glued(text: str) -> bool:
+    """Whether a text has a status code or a part of _GLUED."""
+    if ("4" in text or "5" in text) and _CODE.search(text):
+        return True
+    low = text.lower()
+    return any(part in low for part in _GLUED)
+
+
 def _notice_within(text: str) -> bool:
     """Whether a notice begins at a capitalised word of a text of one line, outside a sentence about such things."""
-    if not (_NOTICE_WORDS.intersection(_WORD.findall(text.lower())) or _CJK_NOTICE.search(text) or _GLUED.search(text)):
+    if not (_NOTICE_WORDS.intersection(_WORD.findall(text.lower())) or _CJK_NOTICE.search(text) or _glued(text)):
         return False
     for m in _START.finditer(text):
         hit = INLINE.match(text, m.start())
@@ -143,7 +153,7 @@ def label_sentence(text: str, words: list[str]) -> int:
     """The residue label of one sentence or line: PLACE, FILL, ERROR (a sum) or 0."""
     there = set(words)
     wide = not text.isascii() and bool(_CJK_NOTICE.search(text))
-    if there & _NOTICE_WORDS or wide or _GLUED.search(text):
+    if there & _NOTICE_WORDS or wide or _glued(text):
         if NOTICE.fullmatch(text):
             return ERROR
     hit = _MARKED.search(text) and (PLACEHOLDER.search(text) or _BRACKETED.search(text))
@@ -185,12 +195,12 @@ def _line_units(whole: str) -> list[Unit]:
         return []
     parts = [p for x in _SENTENCES.split(whole) if (p := x.strip())] if len(whole) > 12 else [whole]
     units = [(p, _WORD.findall(p.lower())) for p in parts]
+    every = units[0][1] if len(units) == 1 else [w for _, words in units for w in words]
     if not (
-        any(not _ANY_WORDS.isdisjoint(words) for _, words in units)
-        or _MARKED.search(whole) or _GLUED.search(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
+        not _ANY_WORDS.isdisjoint(every)
+        or _MARKED.search(whole) or _glued(whole) or not whole.isascii() and _CJK_NOTICE.search(whole)
     ):
         return [(p, 0, words) for p, words in units]
-    every = units[0][1] if len(units) == 1 else [w for _, words in units for w in words]
     label = label_sentence(whole, every)
     if label == ERROR or len(units) == 1:
         return [(whole, label, every)]
@@ -247,7 +257,7 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             place = {t: k for k, t in enumerate(words)}
             codes = np.array([place[t] for t in texts])
-            tokens = [["0" if w.isdigit() else w for w in own] for own in words.values()]
+            tokens = [["0" if w.isdigit() else w for w in own] if _DIGIT.search(text) else own for text, own in words.items()]
             unit = pd.util.hash_array(np.array([" ".join(t) for t in tokens], dtype=object), categorize=False).view(np.int64)
             label = np.array(labels, np.int32)
             # Of a unit's sentences one stands for it, a labelled one if there is one.
