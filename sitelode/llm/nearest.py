@@ -1,7 +1,8 @@
 """Problem 6: the most similar vectors for every vector, by additive quantisation.
 
-An index is fitted on a bounded sample: coarse cells (spherical k-means in one
-or two residual levels), then full-dimensional residual codebooks whose words
+An index is fitted on a bounded sample: coarse cells, whose number grows with the
+vectors (k-means, and a second residual level for more cells than the sample can
+fit), then full-dimensional residual codebooks whose words
 are added up.  Every vector is encoded by beam search, lies in the cell nearest
 to it and queries its nearest cells; there it is scored against all members by
 look-up tables of its products with the codewords and the members' stored
@@ -24,12 +25,12 @@ from sitelode.session import broadcast_if_small, materialised
 
 DIM, NEIGHBOURS = 64, 5
 #: Rows that the index is fitted on (every row is indexed), and rounds of k-means.
-SAMPLE_ROWS, ROUNDS = 20_000, 8
-#: Vectors of a cell on average; cells of one level, above which a second one is used.
-CELL_ROWS, LEVEL_CELLS = 256, 1_024
+SAMPLE_ROWS, ROUNDS = 50_000, 8
+#: Vectors of a cell on average; sample rows that a centre of the first level needs.
+CELL_ROWS, CENTRE_ROWS = 256, 8
 #: Additive codebooks, codewords in each, partial sums kept by the beam.
 BOOKS, WORDS, BEAM = 8, 256, 2
-#: Cells that each vector searches; candidates of a cell that are reranked.
+#: Cells that each vector searches (twice as many where cells have two levels); candidates of a cell that are reranked.
 PROBES, RERANK = 4, 160
 #: Members of a cell that are scored at once; queries of a block in one task.
 BLOCK, BLOCK_QUERIES = 2_048, 65_536
@@ -41,11 +42,10 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUND
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near, cost = _nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        sizes = np.bincount(near, minlength=k)
-        empty = np.flatnonzero(sizes == 0)
-        centres = sums / np.maximum(sizes, 1)[:, None].astype(np.float32)
+        order = np.argsort(near, kind="stable")
+        there, begin = np.unique(near[order], return_index=True)
+        centres[there] = np.add.reduceat(x[order], begin) / np.diff(np.append(begin, len(x)))[:, None].astype(np.float32)
+        empty = np.setdiff1d(np.arange(k), there)
         if len(empty):
             centres[empty] = x[np.argsort(cost)[: len(empty)]]
     return centres.astype(np.float32)
@@ -53,9 +53,14 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUND
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row, and how well it fits (greater is nearer)."""
-    score = x @ centres.T - 0.5 * (centres**2).sum(1)
-    best = score.argmax(1)
-    return best, score[np.arange(len(x)), best] - 0.5 * (x**2).sum(1)
+    best, fits = [], []
+    half = 0.5 * (centres**2).sum(1)
+    for at in range(0, len(x), 4096):  # bounded memory
+        part = x[at : at + 4096]
+        score = part @ centres.T - half
+        best.append(score.argmax(1))
+        fits.append(score[np.arange(len(part)), best[-1]] - 0.5 * (part**2).sum(1))
+    return np.concatenate(best), np.concatenate(fits)
 
 
 @dataclass
@@ -126,14 +131,13 @@ class Index:
 def fit_index(sample: np.ndarray, rows: int, seed: int = 11) -> Index:
     """An index for ``rows`` vectors from a sample of them."""
     rng = np.random.default_rng(seed)
-    wanted = max(1, min(round(rows / CELL_ROWS), len(sample) // 8 or 1) if rows <= CELL_ROWS * LEVEL_CELLS else LEVEL_CELLS)
-    first = _kmeans(sample, wanted, rng)
+    cells = max(1, round(rows / CELL_ROWS))
+    first = _kmeans(sample, min(cells, max(1, len(sample) // CENTRE_ROWS)), rng)
     rest = sample - first[_nearest(sample, first)[0]]
-    if rows > CELL_ROWS * LEVEL_CELLS:
-        second = _kmeans(rest, min(LEVEL_CELLS, round(rows / CELL_ROWS / LEVEL_CELLS) + 1), rng)
+    second = np.zeros((1, sample.shape[1]), np.float32)
+    if cells > len(first) and len(sample) > CENTRE_ROWS:
+        second = _kmeans(rest, min(-(-cells // len(first)), len(sample) // CENTRE_ROWS), rng)
         rest = rest - second[_nearest(rest, second)[0]]
-    else:
-        second = np.zeros((1, sample.shape[1]), np.float32)
     books = []
     for _ in range(BOOKS):
         book = _kmeans(rest, WORDS, rng)
@@ -149,7 +153,7 @@ def unit_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding
 
     ``vector_col`` is a JSON array of ``dim`` finite numbers, not all zero; other
     rows (null, broken JSON, another length, a null or non-finite element) are
-    left out.  ``same`` is a hash of the vector.
+    left out.  ``same`` is the MD5 of the vector.
     """
     own = distinct_rows(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("json")), "id")
     parsed = own.select("id", F.from_json("json", "array<double>").alias("v")).filter(F.size("v") == dim)
@@ -166,12 +170,9 @@ def unit_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding
             x = x[good] / most[good][:, None]  # squares of very large or small numbers stay in range
             x = (x / np.sqrt((x**2).sum(1))[:, None]).astype(np.float32)
             raw = [r.tobytes() for r in x]
-            yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[good], "v": raw,
-                "same": pd.util.hash_array(np.array([r.hex() for r in raw], dtype=object), categorize=False).view(np.int64),
-            })[["id", "same", "v"]]
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[good], "v": raw})
 
-    return parsed.mapInPandas(scale, "id long, same long, v binary")
+    return parsed.mapInPandas(scale, "id long, v binary").select("id", F.md5("v").alias("same"), "v")
 
 
 def _matrix(column: pd.Series, dtype: type = np.float32) -> np.ndarray:
@@ -243,6 +244,10 @@ def nearest_neighbours(
     task holds an unbounded group.  Queries travel as 16-bit fixed-point numbers
     (error of a cosine about 2e-6).
 
+    The result is approximate: a neighbour is missed where its cell is not among
+    the ``probes`` nearest or its estimate not among the best ``rerank`` of the
+    cell.  With both at least the number of vectors it is exact but for the rounding below.
+
     Unusable vectors (see :func:`unit_vectors`) take no part.  Repeated rows
     count once.  Fewer than ``k`` others: all of them.  Empty table: empty
     result.  Other columns are ignored.
@@ -256,10 +261,16 @@ def nearest_neighbours(
     heads = broadcast_if_small(classes.select("same", F.get("ids", F.lit(0)).alias("head")), 24)
     kept = vectors.join(heads, "same", "left").filter("head is null or head = id").select("id", "v")
     rows = vectors.count()
-    sample = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    # By a threshold of a hash, so that what reaches the driver doesn't grow with the partitions.
+    bins = 1 << 30
+    drawn = vectors.select("v").filter(F.pmod(F.xxhash64("id"), F.lit(bins)) < min(bins, round(bins * sample_rows / max(rows, 1))))
+    sample = drawn.limit(sample_rows).collect()
+    if rows and not sample:
+        sample = vectors.select("v").limit(sample_rows).collect()
     if not sample:
         return vectors.select("id", F.col("id").alias("near"), F.lit(0.0).cast("float").alias("score")).limit(0)
     index = fit_index(np.stack([np.frombuffer(r["v"], np.float32) for r in sample]), rows)
+    probes *= 1 if len(index.second) == 1 else 2
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

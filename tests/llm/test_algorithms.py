@@ -172,6 +172,20 @@ def test_nearest_split_cells(spark, monkeypatch):
     assert nearest_of(vector_table(spark, vectors)) == brute_nearest(vectors, 5)
 
 
+def test_nearest_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL_ROWS", 25)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    vectors = {i: (centres[i % 40] + 0.5 * rng.normal(size=64)).round(4) for i in range(2_000)}
+    index = nearest.fit_index(np.array(list(vectors.values()), np.float32)[:300], 2_000)
+    assert len(index.first) == 37 and len(index.second) > 1  # more cells than a sample of 300 can fit in one level
+    truth = brute_nearest(vectors, 5)
+    got = nearest_of(vector_table(spark, vectors), sample_rows=300)
+    assert np.mean([len(got[i] & truth[i]) / 5 for i in truth]) >= 0.95
+    whole = nearest_of(vector_table(spark, vectors), sample_rows=300, probes=2_000, rerank=2_000)
+    assert np.mean([len(whole[i] & truth[i]) / 5 for i in truth]) >= 0.9999
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 16)).astype(np.float32)
