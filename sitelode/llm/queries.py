@@ -95,6 +95,11 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_texts(read_table(spark, root, "documents"))
 
 
+def p8_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text, encoded and decoded again."""
+    return tokens.decode_texts(tokens.encode_texts(read_table(spark, root, "documents")))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return leakage.leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"))
@@ -122,5 +127,5 @@ def p10_limits(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_normalised, p1_titles, p2_found, p2_kept, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)
+    for f in (p1_found, p1_normalised, p1_titles, p2_found, p2_kept, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_found, p7_found, p7_cleaned, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_sources, p10_limits)
 }

@@ -25,6 +25,7 @@ ORACLES = {
             GROUP BY site, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) * 10 >= max(t))
         SELECT DISTINCT id, line_no FROM norm JOIN hot USING (site, n)
     """,
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": r"""
         WITH w AS (
             SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),

@@ -1,10 +1,11 @@
 """Problem 8: encoding texts with a public byte-level BPE tokenizer.
 
 The merges run in Spark's higher-order functions: a word is an array of hex
-pieces (one per byte at first), the adjacent pair with the lowest rank is merged
-everywhere it stands, and the fold ends when no pair has a rank.  Ranks come
-from a literal map, split into buckets because a lookup in a Spark map is a
-linear scan.
+pieces (one per byte at first) with the ranks of its adjacent pairs, the first
+pair of the lowest rank is merged, and the fold ends when no pair has a rank.
+Ranks come from a literal map, split into buckets because a lookup in a Spark map
+is a linear scan.  A long word is encoded in overlapping windows and joined at
+tokens that two windows share, which gives the same tokens as the whole word.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sitelode.session import checkpointed
+from sitelode.session import materialised
 
 #: Where the public vocabularies lie; a parameter of every function.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -26,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that are resolved from a literal dictionary: a documented bound.
 HOT_WORDS = 16_384
+#: Bytes of a window of a long word, and bytes that a window shares with the next; the longest token has 128.
+WINDOW, OVERLAP = 768, 256
 
 
 @lru_cache(maxsize=4)
@@ -69,46 +73,115 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encode_word(word: Column, path: str = VOCABULARY) -> Column:
-    """The token ids of one word, by a fold of ranked merges over its bytes."""
+def encode_bytes(code: Column, path: str = VOCABULARY) -> Column:
+    """The token ids of a run of bytes (hex), by a fold of ranked merges.
+
+    Each step merges the first pair of the lowest rank, as the vocabulary's own
+    rule does, and looks up the ranks of the two pairs that it makes.
+    """
     table = rank_table(path)
-    size = F.octet_length(word)
-    code = F.hex(F.encode(word, "UTF-8"))
-    single = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
     none = F.lit(2**31 - 1)
+    rank = lambda x, y: F.coalesce(_lookup(table, F.concat(x, y)), none)
+    size = (F.length(code) / 2).cast("int")
+    single = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(
+        F.substring(code, i * 2 + 1, F.lit(2)), F.substring(code, i * 2 + 3, F.lit(2))
+    ))).otherwise(F.array().cast("array<int>"))
 
-    def best_pair(pieces: Column) -> Column:
-        pair = lambda i: F.concat(F.get(pieces, i), F.get(pieces, i + 1))
-        ranked = F.transform(
-            F.sequence(F.lit(0), F.size(pieces) - 2),
-            lambda i: F.transform(
-                F.array(pair(i)), lambda k: F.struct(F.coalesce(_lookup(table, k), none).alias("rank"), k.alias("key"))
-            )[0],
-        )
-        return F.when(F.size(pieces) > 1, F.array_min(ranked))
-
-    def merged(pieces: Column, key: Column) -> Column:
-        empty = F.array().cast("array<string>")
-        return F.aggregate(
-            pieces,
-            empty,
-            lambda out, p: F.when(
-                (F.size(out) > 0) & (F.concat(F.get(out, F.size(out) - 1), p) == key),
-                F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(key)),
-            ).otherwise(F.concat(out, F.array(p))),
+    def merged(state: Column, at: Column) -> Column:
+        """``at`` counts from 1: pieces at and at + 1 become one."""
+        pieces, ranks = state["pieces"], state["ranks"]
+        n = F.size(pieces)
+        key = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
+        before = F.when(at > 1, F.array(rank(F.get(pieces, at - 2), key))).otherwise(F.array().cast("array<int>"))
+        after = F.when(at + 1 < n, F.array(rank(key, F.get(pieces, at + 1)))).otherwise(F.array().cast("array<int>"))
+        return F.struct(
+            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(key), F.slice(pieces, at + 2, n)).alias("pieces"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, n)).alias("ranks"),
         )
 
     def step(state: Column, _: Column) -> Column:
-        once = F.transform(F.array(best_pair(state["pieces"])), lambda b: F.when(
-            b.isNull() | (b["rank"] == none), F.struct(state["pieces"].alias("pieces"), F.lit(True).alias("done"))
-        ).otherwise(F.struct(merged(state["pieces"], b["key"]).alias("pieces"), F.lit(False).alias("done"))))[0]
-        return F.when(state["done"], state).otherwise(once)
+        low = F.array_min(state["ranks"])
+        # The state passes a lambda, so that each of its parts is computed once.
+        once = F.transform(
+            F.array(F.array_position(state["ranks"], low).cast("int")), lambda at: merged(state, at)
+        )[0]
+        return F.when(low.isNull() | (low == none), state).otherwise(once)
 
-    start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
-    end = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, step)["pieces"]
+    start = F.struct(single.alias("pieces"), pairs.alias("ranks"))
+    end = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step)["pieces"]
     return F.transform(end, lambda p: _lookup(table, p))
 
 
+def encode_word(word: Column, path: str = VOCABULARY) -> Column:
+    """The token ids of one word, as one window."""
+    return encode_bytes(F.hex(F.encode(word, "UTF-8")), path)
+
+
+def _windows(code: Column, window: int, overlap: int) -> Column:
+    """``(begin, code)`` of the overlapping windows of a run of bytes (hex), the first at byte 0."""
+    step = window - overlap
+    size = (F.length(code) / 2).cast("int")
+    last = F.greatest(F.ceil((size - overlap) / step).cast("int") - 1, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct((i * step).alias("begin"), F.substring(code, i * step * 2 + 1, F.lit(window * 2)).alias("code")),
+    )
+
+
+def _spans(begin: Column, ids: Column, sizes: Column) -> Column:
+    """``(at, id)`` of the tokens of a window, at the byte where each begins."""
+    ends = F.aggregate(
+        F.sequence(F.lit(0), F.size(ids) - 1),
+        F.array(begin.cast("int")),
+        lambda out, i: F.concat(out, F.array(F.element_at(out, -1) + F.get(sizes, F.get(ids, i)))),
+    )
+    return F.zip_with(F.slice(ends, F.lit(1), F.size(ids)), ids, lambda at, i: F.struct(at.alias("at"), i.alias("id")))
+
+
+def encode_distinct(words: DataFrame, path: str = VOCABULARY, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """``words``, a table of distinct ``word``, with the token ids of each in ``ids``.
+
+    Words of at most ``window`` bytes are encoded as one.  A longer word is cut
+    into windows that overlap, each is encoded by itself, and the parts are
+    joined at the first token that both windows have at the same bytes: a row of
+    tokens is the encoding of its bytes exactly if each two neighbours are, and
+    every two neighbours then come from one window.  A word with two windows that
+    share no token (none is known) is encoded as a whole.
+    """
+    spread = max(8, 2 * words.sparkSession.sparkContext.defaultParallelism)
+    size = F.octet_length("word")
+    whole = words.filter(size <= window).repartition(spread, "word").withColumn("ids", encode_word(F.col("word"), path))
+    long = words.filter(size > window)
+    if long.isEmpty():
+        return materialised(whole)
+    long = materialised(long.select("*", F.xxhash64("word").alias("_key"), F.md5("word").alias("_more")))
+    by_rank = sorted((rank, len(token)) for token, rank in load_ranks(path).items())
+    lengths = dict(by_rank)
+    sizes = F.from_json(F.lit(json.dumps([lengths.get(i, 0) for i in range(by_rank[-1][0] + 1)])), "array<int>")
+    parts = long.select("_key", "_more", F.inline(_windows(F.hex(F.encode("word", "UTF-8")), window, overlap)))
+    codes = parts.select("code").distinct().repartition(spread, "code")
+    coded = materialised(codes.withColumn("ids", encode_bytes(F.col("code"), path)))
+    spans = parts.join(coded, "code").select("_key", "_more", "begin", _spans(F.col("begin"), F.col("ids"), sizes).alias("tokens"))
+    own = Window.partitionBy("_key", "_more").orderBy("begin")
+    shared = F.array_min(F.transform(F.array_intersect("tokens", F.lead("tokens").over(own)), lambda t: t["at"]))
+    cut = spans.select("_key", "_more", "begin", "tokens", shared.alias("end"), F.row_number().over(own).alias("n"), F.count("*").over(
+        Window.partitionBy("_key", "_more")).alias("of"))
+    cut = cut.withColumn("start", F.lag("end").over(own))
+    inside = F.filter("tokens", lambda t: (t["at"] >= F.coalesce("start", F.lit(0))) & (F.col("end").isNull() | (t["at"] < F.col("end"))))
+    joined = cut.groupBy("_key", "_more").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("begin", F.transform(inside, lambda t: t["id"]).alias("ids")))), lambda x: x["ids"])).alias("ids"),
+        F.bool_and((F.col("n") == F.col("of")) | F.col("end").isNotNull()).alias("whole"),
+    )
+    made = materialised(long.join(joined, ["_key", "_more"]))
+    good = made.filter("whole").select(*words.columns, "ids")
+    rest = made.filter("not whole").select(*words.columns)
+    every = whole.unionByName(good)
+    if not rest.isEmpty():
+        every = every.unionByName(rest.withColumn("ids", encode_word(F.col("word"), path)))
+    return materialised(every)
+
+
 def decode_ids(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of token ids: their binary pieces concatenated, read as UTF-8."""
     tokens = token_table(path)
@@ -124,42 +197,66 @@ def encode_texts(
 ) -> DataFrame:
     """``(doc_id, ids)``: the token ids of each row's text, without special tokens.
 
-    Every distinct word is encoded once by the fold.  The ``hot_words`` most
-    frequent words (nearly all tokens of a corpus) go into a literal dictionary,
-    bounded by that parameter, and are resolved inside each row without a
-    shuffle; the rest, none of them frequent, is joined by a shuffle per
-    distinct text and put back by position.
+    Every distinct word is encoded once (:func:`encode_distinct`).  The most
+    frequent words (nearly all tokens of a corpus), at most ``hot_words``, go into
+    a literal dictionary and are resolved inside each row without a shuffle; the
+    rest, none of them frequent, is joined by word, and only texts that have such
+    words are put together by key.
 
     Null and empty text: an empty list.  Repeated rows: one row each.  Other
     columns are ignored.  An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    split = own.select("doc_id", F.md5("text").alias("key"), words_of(F.col("text")).alias("words"))
-    counts = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    spread = max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    encoded = checkpointed(counts.repartition(spread, "word").select("word", "n", encode_word(F.col("word"), path).alias("ids")))
-    hot = encoded.orderBy(F.desc("n"), "word").limit(hot_words).collect()
+    counts = materialised(
+        own.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    )
+    encoded = encode_distinct(counts, path)
+    least = _frequent(counts, hot_words)
+    hot = encoded.filter(F.col("n") >= least).select("word", "ids").collect() if least else []
     table = _bucketed({r["word"]: r["ids"] for r in hot}, "array<int>")
-    known = split.select(
-        "doc_id", "key", "words", F.transform("words", lambda w: _lookup(table, w)).alias("found")
+    # Texts are told apart by two hashes, equal ones are put together once.
+    split = own.select("doc_id", F.md5("text").alias("key"), words_of(F.col("text")).alias("words"))
+    found = F.transform("words", lambda w: F.transform(F.array(_lookup(table, w)), lambda i: F.struct(
+        i.alias("ids"), F.when(i.isNull(), w).alias("word")))[0])
+    known = materialised(split.select("doc_id", "key", found.alias("found")))
+    unknown = F.exists("found", lambda x: x["word"].isNotNull())
+    empty = F.array().cast("array<int>")
+    done = known.filter(F.col("found").isNull() | ~unknown).select(
+        "doc_id", F.when(F.col("found").isNull(), empty).otherwise(F.flatten(F.transform("found", lambda x: x["ids"]))).alias("ids")
     )
+    part = known.filter(unknown)
     rest = (
-        known.select("key", F.posexplode(F.arrays_zip("words", "found")).alias("pos", "both"))
-        .filter("both.found is null")
-        .select("key", "pos", F.col("both.words").alias("word"))
+        part.select("key", F.posexplode("found").alias("pos", "x"))
+        .filter("x.word is not null")
+        .select("key", "pos", F.col("x.word").alias("word"))
         .distinct()
-        .join(encoded.select("word", "ids"), "word")
+        .join(encoded.filter(F.col("n") < least).select("word", "ids") if least else encoded.select("word", "ids"), "word")
         .groupBy("key")
         .agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
     )
-    numbered = F.transform("found", lambda ids, i: F.struct(i.alias("pos"), ids.alias("ids")))
+    numbered = F.transform("found", lambda x, i: F.struct(i.alias("pos"), x["ids"].alias("ids")))
     every = F.array_sort(F.concat(F.filter(numbered, lambda x: x["ids"].isNotNull()), F.col("rest")))
-    empty = F.array().cast("array<int>")
-    return known.select("doc_id", "key", "found").join(rest, "key", "left").select(
-        "doc_id",
-        F.when(F.col("found").isNull(), empty)
-        .when(F.col("rest").isNull(), F.flatten("found"))
-        .otherwise(F.flatten(F.transform(every, lambda x: x["ids"])))
-        .alias("ids"),
-    )
+    mended = part.join(rest, "key").select("doc_id", F.flatten(F.transform(every, lambda x: x["ids"])).alias("ids"))
+    return done.unionByName(mended)
+
+
+def _frequent(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, 0 where there is none.
+
+    Counts are put into classes a sixteenth of a doubling wide, so that what
+    comes to the driver is bounded.
+    """
+    kind = F.floor(16 * F.log2("n"))
+    sizes = counts.groupBy(kind.alias("kind")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("kind")).collect()
+    total, least = 0, 0
+    for r in sizes:
+        total += r["c"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
 
+def decode_texts(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, text)`` of rows of token ids; a null list gives null, an empty one the empty text."""
+    return encoded.select(F.col(id_col).alias("doc_id"), decode_ids(F.col(ids_col), path).alias("text"))

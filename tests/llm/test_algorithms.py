@@ -293,6 +293,23 @@ def test_encode_is_the_library(spark):
             assert list(r["ids"]) == (reference.encode_ordinary(text) if text else [])
 
 
+@needs_vocabulary
+@pytest.mark.parametrize(("window", "overlap"), [(tokens.WINDOW, tokens.OVERLAP), (96, 32), (24, 12)])
+def test_long_words_are_the_library(spark, window, overlap):
+    import tiktoken
+
+    reference = tiktoken.Encoding("own", pat_str=tokens.PATTERN.removeprefix("(?U)"), mergeable_ranks=tokens.load_ranks(), special_tokens={})
+    rng = np.random.default_rng(2)
+    letters = lambda pool, n: "".join(rng.choice(list(pool), n))
+    long = [
+        letters("abcdefghijklmnopqrstuvwxyz", 5_000), letters("ACGT", 3_000), letters("ab", 2_000), "x" * 3_001, "the" * 900, letters("日本語のテキスト", 900),
+        "-" * 2_000, "=-" * 700, "antidisestablishment" * 80, letters("aeiou", 1_500), "short", "é" * 800,
+    ]
+    df = spark.createDataFrame([(w, 1) for w in long], "word string, n long")
+    got = {r["word"]: list(r["ids"]) for r in tokens.encode_distinct(df, window=window, overlap=overlap).collect()}
+    assert got == {w: reference.encode_ordinary(w) for w in long}
+
+
 @needs_vocabulary
 def test_decode_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES) if t], "doc_id long, text string")
