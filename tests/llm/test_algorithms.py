@@ -443,3 +443,16 @@ def test_hubs_of_large_buckets(spark, monkeypatch):
     own = [f"notice {letters[i]} all goods of this shop are sold as seen with no return at any later time" for i in range(20)]
     df = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(own)], "id long, url string, content string")
     assert {i for i, _ in rows(repeated.repeated_lines(df))} == set(range(20))
+
+
+@pytest.mark.parametrize("shingle", [1, 3, 5])
+def test_minima_of_all_sizes_in_one_pass(shingle):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (0, 1, 4, 5, 12, 40, 11)]
+    many = np.array([len(t) for t in texts])
+    left = np.repeat(np.cumsum(many), many) - np.arange(many.sum())
+    row = np.repeat(np.arange(len(texts)), many)
+    for size, minima, starts in leakage._batch_minima(np.concatenate(texts), left, [1, 2, 3, 4, 5, 6, 9, 12], shingle):
+        for k, text in enumerate(texts):
+            own = np.unique(minima[row[starts] == k]).view(np.int64)
+            assert np.array_equal(own, leakage._window_minima(text, size, shingle)), (size, k)
