@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Phrases of menus and footers, each matched between word boundaries, case ignored.
 PHRASES = [
     "get in touch", "scroll down", "learn more", "view more", "read more", "contact us", "all rights reserved",
-    r"©\s?\d{4}", "follow us on", r"facebook[-\s]?f", "instagram", "linkedin", "behance", "twitter", "subscribe",
+    r"©\s*\d{4}", "follow us on", r"facebook[- ]?f", "instagram", "linkedin", "behance", "twitter", "subscribe",
     "enter your email", "enter your message", "submit", "privacy policy", "terms of service", "cookie policy",
 ]
 # Names of sections, in the order in which they are tried.
@@ -28,9 +28,10 @@ HEADING_MOST, HEADING_WORDS = 100, 6
 
 PHRASE_PATTERN = rf"(?iU)\b(?:{'|'.join(PHRASES)})\b"
 #: Line ends as a text reader takes them: LF, CR, CRLF, NEL, LS, PS.
-LINE_END = "\\r\\n|[\\n\\r" + "".join(map(chr, (0x85, 0x2028, 0x2029))) + "]"
-_SPACES = "[" + "".join(map(chr, (0xA0, 0x200B, 0x202F))) + "]"
-_CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
+LINE_END = "\\r\\n|[\\n\\r\u0085\u2028\u2029]"
+# Spaces that become plain ones, controls that are blanked.
+_SPACES = "[\u00a0\u200b\u202f]"
+_CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 
 
 def _unescape(text: Column, normalise: bool) -> Column:
@@ -64,7 +65,7 @@ def fix_encoding(text: Column) -> Column:
     t = _unescape(F.coalesce(text, F.lit("")), normalise=True)
     t = F.regexp_replace(t, _CONTROLS, " ")
     t = F.regexp_replace(t, "[ \t]{2,}", " ")
-    t = F.regexp_replace(t, "[ \t]+\n", "\n")
+    t = F.regexp_replace(t, " +\n", "\n")
     return trim_space(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
@@ -91,7 +92,7 @@ def clean_lines(lines: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Entities resolved once more, scripts, styles and tags blanked, special spaces and controls plain."""
     t = _unescape(F.coalesce(text, F.lit("")), normalise=False)
-    t = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(t, r"(?is)<(?:script|style).*?>.*?</(?:script|style)>", " ")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     t = F.regexp_replace(t, _SPACES, " ")
     return F.regexp_replace(t, _CONTROLS[:-1] + "]+", " ")

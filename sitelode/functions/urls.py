@@ -15,6 +15,12 @@ TRACKING_PARAMS = ["gclid", "fbclid", "ref", "referrer", "_hsenc", "_hsmi"]
 NON_PAGE_ENDINGS = (
     "png jpg jpeg gif webp svg ico mp4 webm mp3 wav ogg pdf zip rar 7z gz tar doc docx xls xlsx ppt pptx exe dmg apk css js mjs map"
 ).split()
+# Schemes whose URLs have an authority, and schemes without one whose last segment has parameters.
+AUTHORITY_SCHEMES = (
+    "ftp http gopher nntp telnet imap wais file mms https shttp snews prospero rtsp rtsps rtspu rsync svn svn+ssh sftp nfs git git+ssh "
+    "ws wss itms-services"
+).split()
+PARAMETER_SCHEMES = ["hdl", "sip", "sips", "tel"]
 UPLOADS = "/wp-content/uploads/"
 
 #: RFC 3986, appendix B: 2 scheme, 4 authority, 5 path, 7 query.
@@ -36,8 +42,8 @@ def path(url: Column) -> Column:
 
 
 def _decoded(text: Column) -> Column:
-    """Percent- and plus-decoded; a text with a broken escape stays as it is, but for its pluses."""
-    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+    """Percent- and plus-decoded; a broken escape stays as it is, what stands beside it is decoded."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def strip_tracking(query: Column) -> Column:
@@ -63,7 +69,8 @@ def normalize_url(url: Column) -> Column:
     Scheme (http where absent) and authority are lower-cased, the fragment, the
     last segment's parameters and tracking parameters are dropped, runs of
     slashes in the path become one, one slash at the end goes, an empty path is
-    ``/``.  Null stays null.
+    ``/``.  A URL of a scheme without an authority (mailto:, tel:) keeps its form.
+    Null stays null.
     """
     scheme = F.lower(url_part(url, 2))
     scheme = F.when(scheme == "", F.lit("http")).otherwise(scheme)
@@ -72,9 +79,12 @@ def normalize_url(url: Column) -> Column:
     plain = F.when(F.char_length(plain) > 1, F.regexp_replace(plain, "/$", "")).otherwise(plain)
     rooted = F.when(F.startswith(plain, F.lit("/")), plain).otherwise(F.concat(F.lit("/"), plain))
     query = strip_tracking(url_part(url, 7))
-    return F.concat(
-        scheme, F.lit("://"), authority(url), rooted, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    )
+    asked = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+    bare = F.when(scheme.isin(PARAMETER_SCHEMES), F.regexp_replace(path(url), r";[^/]*$", "")).otherwise(path(url))
+    bare = F.regexp_replace(bare, "/{2,}", "/")
+    bare = F.when(bare == "", F.lit("/")).when(F.char_length(bare) > 1, F.regexp_replace(bare, "/$", "")).otherwise(bare)
+    opaque = ~scheme.isin(AUTHORITY_SCHEMES) & (authority(url) == "")
+    return F.when(opaque, F.concat(scheme, F.lit(":"), bare, asked)).otherwise(F.concat(scheme, F.lit("://"), authority(url), rooted, asked))
 
 
 def bare_host(url: Column) -> Column:

@@ -19,8 +19,9 @@ def context_blocks(hits: DataFrame, text_chars: int = TEXT_CHARS) -> DataFrame:
     A query has a handful of hits, so a group is small by construction.
     """
     block = F.format_string(
-        "- %s | %s (score: %.4f)\n%s",
-        F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), F.col("score").cast("double"),
+        "- %s | %s%s\n%s",
+        F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")),
+        F.when(F.col("score").isNull(), F.lit("")).otherwise(F.format_string(" (score: %.4f)", F.col("score").cast("double"))),
         F.substring(F.coalesce("text", F.lit("")), 1, text_chars),
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
@@ -65,18 +66,23 @@ def stub_model(messages: list[dict]) -> str:
 
 
 def answers(
-    questions: DataFrame, hits: DataFrame, histories: DataFrame | None = None, model: Callable[[list[dict]], str] = stub_model
+    questions: DataFrame, hits: DataFrame, histories: DataFrame | None = None, model: Callable[[list[dict]], str] = stub_model,
+    titles: bool = True,
 ) -> DataFrame:
     """``(query_id, question, answer)``: the model's answer with its sources, or a fixed sentence without hits.
 
     ``questions`` is ``(query_id, question)`` and, with ``histories``
     (``session_id, history``), ``session_id``.  The model runs once a question.
+    Without ``titles`` a source is its url alone, hits without one are left out
+    of the list, and the answer follows its heading on the same line.
     """
     context = context_blocks(hits)
-    sources = hits.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))),
-                                 lambda x: F.concat(F.lit("- "), F.coalesce(x["title"], F.lit("")), F.lit(" ("), F.coalesce(x["url"], F.lit("")), F.lit(")"))), "\n").alias("sources")
-    )
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "title", "url")))
+    if titles:
+        named = F.transform(ordered, lambda x: F.concat(F.lit("- "), F.coalesce(x["title"], F.lit("")), F.lit(" ("), F.coalesce(x["url"], F.lit("")), F.lit(")")))
+    else:
+        named = F.transform(F.filter(ordered, lambda x: F.coalesce(x["url"], F.lit("")) != ""), lambda x: F.concat(F.lit("- "), x["url"]))
+    sources = hits.groupBy("query_id").agg(F.array_join(named, "\n").alias("sources"))
     rows = questions.join(context, "query_id", "left").join(sources, "query_id", "left")
     past = None
     if histories is not None:
@@ -88,7 +94,7 @@ def answers(
         return messages.map(lambda m: model([dict(x) if isinstance(x, dict) else x.asDict() for x in m]))
 
     said = ask(prompt_messages(F.col("context"), F.col("question"), past))
-    text = F.concat(F.lit("**Answer:**\n"), said, F.lit("\n\n**Sources:**\n"), F.col("sources"))
+    text = F.concat(F.lit("**Answer:**\n" if titles else "**Answer:** "), said, F.lit("\n\n**Sources:**\n"), F.col("sources"))
     return rows.select("query_id", "question", F.when(F.col("context").isNull(), F.lit(NO_HITS)).otherwise(text).alias("answer"))
 
 

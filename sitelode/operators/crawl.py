@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from queue import Empty, Queue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from sitelode.session import materialised
 MAX_DEPTH = 3
 ATTEMPTS, DELAY, BACKOFF = 2, 1.5, 2.0
 POLITE = (0.2, 0.8)
+#: Seconds that a fetch may take.
+TIMEOUT = 15.0
 
 
 def with_retry(call: Callable[[], str], attempts: int = ATTEMPTS, delay: float = DELAY, backoff: float = BACKOFF, sleep=time.sleep) -> str:  # noqa: ANN001
@@ -32,15 +36,45 @@ def with_retry(call: Callable[[], str], attempts: int = ATTEMPTS, delay: float =
     raise ValueError("attempts must be at least 1")
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], attempts: int = ATTEMPTS, polite: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """``(url, depth, html, error)``: each URL fetched by ``fetch(url) -> html``; a failure leaves its error."""
+def _within(fetch: Callable[[str], str], url: str, timeout: float | None) -> str:
+    """``fetch(url)``, a TimeoutError after ``timeout`` seconds."""
+    if timeout is None:
+        return fetch(url)
+    done: Queue = Queue()
+
+    def run() -> None:
+        try:
+            done.put((fetch(url), None))
+        except Exception as e:  # noqa: BLE001
+            done.put((None, e))
+
+    Thread(target=run, daemon=True).start()
+    try:
+        html, error = done.get(timeout=timeout)
+    except Empty:
+        raise TimeoutError(f"no answer within {timeout} s") from None
+    if error is not None:
+        raise error
+    return html
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], attempts: int = ATTEMPTS, polite: tuple[float, float] = (0.0, 0.0), timeout: float | None = TIMEOUT,
+    spread: int | None = None,
+) -> DataFrame:
+    """``(url, depth, html, error)``: each URL fetched by ``fetch(url) -> html``; a failure leaves its error.
+
+    A fetch that takes more than ``timeout`` seconds fails (its thread is left
+    behind; None: no limit).  Between fetches a task waits a random time within
+    ``polite`` (POLITE is a considerate choice for sites of others).  The URLs are
+    spread over ``spread`` tasks, by default one a core.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for url, depth in zip(batch["url"], batch["depth"]):
                 try:
-                    html, error = with_retry(lambda u=url: fetch(u), attempts), None
+                    html, error = with_retry(lambda u=url: _within(fetch, u, timeout), attempts), None
                 except Exception as e:  # noqa: BLE001
                     html, error = None, f"{type(e).__name__}: {e}"
                 out.append((url, depth, html, error))
@@ -48,7 +82,8 @@ def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], attempts: int = AT
                     time.sleep(random.uniform(*polite))
             yield pd.DataFrame(out, columns=FETCHED.names).astype({"depth": "int32"})
 
-    return urls.select("url", "depth").mapInPandas(run, FETCHED)
+    many = spread or urls.sparkSession.sparkContext.defaultParallelism
+    return urls.select("url", "depth").repartition(many, "url").mapInPandas(run, FETCHED)
 
 
 def page_links(pages: DataFrame) -> DataFrame:

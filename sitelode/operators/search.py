@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitelode.functions.text import slugify
-from sitelode.functions.vectors import squared_distance, unit
-from sitelode.operators.dedupe import latest  # noqa: F401  (part of the operator set)
+from sitelode.functions.vectors import cosine, squared_distance, unit
 
 RECALL, FINAL, RELEVANCE = 25, 3, 0.7
 #: Queries held by a task at once.
@@ -174,6 +173,20 @@ def fetch_records(hits: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataF
     )
 
 
+def search_allowed(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, top_k: int = 3, digits: int = 6) -> DataFrame:
+    """``(query_id, rank, id, score)``: the best rows by cosine of those that each query may find.
+
+    ``allowed`` is ``(query_id, id)``: exactly these pairs are scored, whatever
+    other queries may find, so a query gets ``top_k`` rows unless it has fewer.
+    """
+    pairs = allowed.select("query_id", "id").distinct().join(vectors.select("id", "v"), "id")
+    scored = pairs.join(queries.select("query_id", F.col("v").alias("q")), "query_id").select(
+        "query_id", "id", F.round(cosine(F.col("v"), F.col("q")), digits).alias("score")
+    )
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
+
+
 def retrieve(
     questions: DataFrame, chunks: DataFrame, pages: DataFrame, question_vectors: DataFrame, vectors: DataFrame,
     recall: int = RECALL, final: int = FINAL, weight: float = RELEVANCE, prefilter: bool = False,
@@ -188,10 +201,8 @@ def retrieve(
     slugs = questions.select("query_id", F.explode(slug_candidates(F.col("question"))).alias("slug"))
     allowed = match_slugs(chunks, pages, slugs).select("query_id", F.col("chunk_id").alias("id")).distinct()
     if prefilter:
-        narrow = search_batch(vectors.join(allowed.select("id").distinct(), "id", "left_semi"), question_vectors, 4 * recall)
-        found = narrow.join(allowed, ["query_id", "id"], "left_semi").unionByName(
-            search_batch(vectors, question_vectors, recall).join(allowed.select("query_id").distinct(), "query_id", "left_anti")
-        ).filter(F.col("rank") <= 4 * recall)
+        free = question_vectors.join(allowed.select("query_id").distinct(), "query_id", "left_anti")
+        found = search_allowed(vectors, question_vectors, allowed, recall).unionByName(search_batch(vectors, free, recall))
     else:
         wide = search_batch(vectors, question_vectors, recall)
         limited = allowed.select("query_id").distinct().withColumn("limited", F.lit(True))

@@ -577,19 +577,6 @@ def e2e_retrieve(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- relational helpers
 
 
-@_query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 500 AS a, (event_id * 7919) % 500 AS b FROM events WHERE event_id % 97 = 0),
-    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    walk AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT w.b, walk.root FROM walk JOIN both_ways w ON w.a = walk.node)
-    SELECT node, min(root) AS component FROM walk GROUP BY node"""
-)
-def link_components(spark: SparkSession, root: str) -> DataFrame:
-    """Connected components of links made from the events."""
-    events = read_table(spark, root, "events").filter("event_id % 97 = 0")
-    edges = events.select((F.col("user_id") % 500).alias("a"), ((F.col("event_id") * 7919) % 500).alias("b"))
-    return connected_components(edges)
-
-
 @_query()
 def page_components(spark: SparkSession, root: str) -> DataFrame:
     """Connected components of all links between pages; no SQL, as a recursive one walks every path."""

@@ -42,20 +42,29 @@ def clean(pages: DataFrame, now: str | None = None) -> DataFrame:
 
 
 def build_site(store: Store, raw: DataFrame, embedder: Embedder, force: bool = False) -> DataFrame:
-    """Save raw pages, clean, chunk what has no chunks yet, embed what has no vector; returns the chunks.
+    """Save raw pages, clean, chunk what has no chunks yet or changed, embed what has no vector; returns the chunks.
 
-    With ``force`` the chunks of all given pages are made anew.
+    The chunks of a page whose cleaned content differs from the one before are
+    made anew, with ``force`` those of all given pages.
     """
     store.save_pages(raw)
+    before = store.read("cleaned_pages")
     cleaned = store.save_cleaned(clean(raw))
     old = store.read("chunks")
+    if before is not None and old is not None:
+        was = before.select("id", F.md5("content").alias("_was"))
+        changed = cleaned.join(was, "id").filter(~F.md5("content").eqNullSafe(F.col("_was"))).select(F.col("id").alias("page_id"))
+        old = old.join(changed, "page_id", "left_anti").select(old.columns)
     todo = cleaned.join(raw.select("url").distinct(), "url", "left_semi") if force else cleaned
     made = chunk_pages(todo, embedder, None if force else old)
     rows = made.select(
         F.xxhash64("page_id", "chunk_index").alias("id"), "page_id", "section", "chunk_index", "content", "embedding",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created_at"),
     )
-    return store.save_chunks(embed_missing(rows, embedder), replace_existing=force)
+    full = embed_missing(rows, embedder)
+    if force or old is None:
+        return store.save_chunks(full, replace_existing=force)
+    return store.write("chunks", old.unionByName(full))
 
 
 def answer_questions(
@@ -64,4 +73,4 @@ def answer_questions(
     """``(query_id, question, answer)`` for a table of ``(query_id, question)``."""
     asked = questions.select("query_id", embed(F.col("question"), embedder).alias("v"))
     hits = retrieve(questions, chunks, pages, asked, load_embeddings(chunks), **options)
-    return answers(questions, hits, histories)
+    return answers(questions, hits, histories, titles=False)

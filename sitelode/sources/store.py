@@ -1,4 +1,4 @@
-"""A store of versioned tables in plain parquet: read the current version, write the next, switch."""
+"""A store of versioned tables in plain parquet: read the greatest complete version, write the next."""
 
 from __future__ import annotations
 
@@ -16,10 +16,13 @@ from sitelode.operators.dedupe import latest, replace_by_key, upsert
 
 @dataclass
 class Store:
-    """Tables under ``root``, each a folder of versions and a pointer to the current one.
+    """Tables under ``root``, each a folder of numbered versions.
 
-    A writer never touches what readers read: it writes a new version folder and
-    then replaces the pointer file, so a lost job leaves the old version whole.
+    A writer never touches what readers read: it writes a new version folder,
+    which counts once its job has put the mark of success into it, the last thing
+    that a job does.  So there is no moment without a current version, and a lost
+    job leaves the old one.  One writer at a time is expected; of two versions of
+    one number the greater by name counts.
     """
 
     spark: SparkSession
@@ -31,10 +34,25 @@ class Store:
 
     def version(self, table: str) -> str | None:
         """The name of the current version, None where the table is absent."""
-        at, fs = self._fs(f"{self.root}/{table}/_current")
+        at, fs = self._fs(f"{self.root}/{table}")
         if not fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.root}/{table}/_current").first()["value"]
+        names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+        for name in sorted((n for n in names if n.startswith("v-")), reverse=True):
+            done, fs = self._fs(f"{self.root}/{table}/{name}/_SUCCESS")
+            if fs.exists(done):
+                return name
+        return None
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Remove all but the last ``keep`` complete versions; none of the others may be in use."""
+        now = self.version(table)
+        if now is None:
+            return
+        at, fs = self._fs(f"{self.root}/{table}")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("v-"))
+        for name in [n for n in names if n <= now][: -max(keep, 1)]:
+            fs.delete(self._fs(f"{self.root}/{table}/{name}")[0], True)
 
     def read(self, table: str, schema: StructType | None = None) -> DataFrame | None:
         """The table, None (with ``schema``: empty) where it is absent."""
@@ -45,10 +63,10 @@ class Store:
 
     def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``rows`` as the next version and make it the current one."""
-        version = f"v-{uuid.uuid4().hex}"
+        now = self.version(table)
+        version = f"v-{int(now.split('-')[1]) + 1 if now else 1:012d}-{uuid.uuid4().hex}"
         writer = rows.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{table}/_current")
         return self.spark.read.parquet(f"{self.root}/{table}/{version}")
 
     def save_pages(self, incoming: DataFrame) -> DataFrame:
@@ -68,6 +86,15 @@ class Store:
         rows = replace_by_key(now, incoming, "page_id") if replace_existing else now.unionByName(incoming)
         return self.write("chunks", rows)
 
+    def page(self, url: str) -> DataFrame:
+        """The raw page of a url: no row or one."""
+        return self.read("pages").filter(F.col("url") == url).limit(1)
+
+    def chunks_of(self, page_id: int) -> DataFrame:
+        """The chunks of a page in order, each with its vector as an array in ``vector`` (null where there is none)."""
+        rows = self.read("chunks").filter(F.col("page_id") == page_id)
+        return rows.withColumn("vector", F.from_json("embedding", "array<double>")).orderBy("chunk_index")
+
     def cleaned_page(self, url: str, page_type: str | None = None) -> DataFrame:
         """The page of (url, page_type); without a type the one updated last."""
         rows = self.read("cleaned_pages").filter(F.col("url") == url)

@@ -144,3 +144,20 @@ def test_vectors(spark):
     assert one(spark, vectors.parse_vector(F.col("j")), j="[1, 2.5]") == [1.0, 2.5]
     for bad in ("x", "[1, null]", "{}", None):
         assert one(spark, vectors.parse_vector(F.col("j")), j=bad) is None
+
+
+@pytest.mark.parametrize(
+    ("url", "expected"),
+    [
+        ("mailto:a@ex.com", "mailto:a@ex.com"), ("tel:5550100;ext=2", "tel:5550100"), ("javascript:void(0);", "javascript:void(0);"),
+        ("https://ex.com/x?q=a%20b%zz", "https://ex.com/x?q=a b%zz"),
+    ],
+)
+def test_normalize_other_schemes(spark, url, expected):
+    assert one(spark, urls.normalize_url(F.col("u")), u=url) == expected
+
+
+def test_fixed_patterns(spark):
+    assert one(spark, text.clean_text(F.col("t")), t="a\u00a9  2024 Acme\nkept") == "kept"
+    assert one(spark, text.fix_encoding(F.col("t")), t="a\x91b\x85c\td \ne\t\nf") == "a\x91b\x85c\td\ne\t\nf"
+    assert one(spark, text.clean_text(F.col("t")), t="<script>x</style>kept") == "kept"

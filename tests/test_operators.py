@@ -266,3 +266,48 @@ def test_page_components_take_the_whole_table(spark):
         up[max(one, two)] = min(one, two)
     got = dict(map(tuple, catalogue.QUERIES["page_components"](spark, root).collect()))
     assert got == {x: find(x) for x in list(up)} and set(got) == set(up) and got
+
+
+def test_prefilter_keeps_the_far_chunks_of_a_question(spark):
+    vectors = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(400)] + [(900, [-1.0, 0.2])], "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "query_id long, v array<double>")
+    allowed = spark.createDataFrame([(1, i) for i in range(400)] + [(2, 900)], "query_id long, id long")
+    got = search.search_allowed(vectors, asked, allowed, 3)
+    assert rows(got.select("query_id", "rank", "id")) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 900)]
+
+
+def test_store_without_a_complete_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("t", spark.range(1))
+    (tmp_path / "t" / "v-000000000009-lost").mkdir()  # a job that ended before its mark of success
+    assert store.read("t").count() == 1
+    store.write("t", spark.range(2))
+    assert store.read("t").count() == 2
+    store.write("t", spark.range(3))
+    store.vacuum("t", keep=1)
+    assert store.read("t").count() == 3 and len([p for p in (tmp_path / "t").iterdir()]) == 2
+
+
+def test_changed_pages_are_chunked_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    pipeline.build_site(store, raw_pages(spark), HashEmbedder(16))
+    page = raw_pages(spark).filter("id = 1").withColumn("content", F.lit("The oven is cold."))
+    chunks = pipeline.build_site(store, page, HashEmbedder(16))
+    assert [r["content"] for r in chunks.collect()] == ["The oven is cold."]
+    assert store.chunks_of(chunks.first()["page_id"]).first()["vector"] is not None and store.page("http://e.com/a").count() == 1
+
+
+def test_slow_fetch_fails(spark):
+    import time
+
+    urls_table = spark.createDataFrame([("http://a/", 0), ("http://slow/", 0)], "url string, depth int")
+    fetch = lambda u: time.sleep(30) if "slow" in u else "<p>x</p>"
+    got = {r["url"]: r for r in crawl.fetch_pages(urls_table, fetch, attempts=1, timeout=0.5).collect()}
+    assert got["http://a/"]["html"] and "TimeoutError" in got["http://slow/"]["error"]
+
+
+def test_answer_without_titles(spark):
+    hits = spark.createDataFrame([(1, 1, "T", "u", "x", 0.5), (1, 2, "S", None, "y", None)], "query_id long, rank int, title string, url string, text string, score double")
+    asked = spark.createDataFrame([(1, "q")], "query_id long, question string")
+    assert answers.answers(asked, hits, titles=False).first()["answer"] == "**Answer:** You asked: q\n\n**Sources:**\n- u"
+    assert answers.context_blocks(hits).first()["context"] == "- T | u (score: 0.5000)\nx\n\n- S | \ny"
