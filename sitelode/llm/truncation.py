@@ -111,13 +111,11 @@ def judge_end(text: str) -> int:
     if not sentences:
         # No sentence ends in the text: a title, a price, a short note, unless a sentence has begun.
         words = bare.split()
-        if len(words) <= 3 or len(bare) < 28 or not re.search(r"[^\W\d_]", bare):
-            return COMPLETE
-        if len(set(words)) == 1 or len(words) == 1:
-            return COMPLETE
+        if len(words) <= 3 or len(bare) < 28 or not re.search(r"[^\W\d_]", bare) or len(set(words)) == 1:
+            return OPEN
         starts = [i for i, w in enumerate(words) if i and w[0].isupper() and not words[i - 1][-1:] in ",:;"]
         later = "\n" in bare or (len(starts) >= 2 and len(words) >= 5) or len(words) >= 12
-        return CUT if later else COMPLETE
+        return CUT if later else OPEN
     return CUT
 
 
@@ -163,11 +161,16 @@ def hidden_limits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Each text is measured as stores with other encodings, entity escaping, JSON
     escaping and line ends would; texts are counted by (source, measure, length)
-    map-side.  A length is a limit where at least LEAST texts have it, and PEAK
+    map-side, equal texts of a source once.  A length is a limit where at least LEAST texts have it, and PEAK
     standard deviations more than the lengths near it let expect.  A byte limit
     also shows as lengths one to three below it, where a character did not fit.
     """
-    counts = _measured(docs, id_col, text_col, source_col).filter("length > 40").groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).filter("text is not null")
+    keyed = own.select("doc_id", F.xxhash64(F.coalesce("source", F.lit("")), "text").alias("key"))
+    again = materialised(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"))
+    extra = materialised(keyed.join(broadcast_if_small(again, 16), "key").filter("doc_id <> first").select("doc_id"))
+    once = own.join(broadcast_if_small(extra, 8), "doc_id", "left_anti")
+    counts = _measured(once, "doc_id", "text", "source").groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source", "measure").orderBy("length")
     wide = by.rangeBetween(-NEAR, NEAR)
     near = counts.withColumn("around", F.sum("n").over(wide) - F.col("n"))
