@@ -186,6 +186,38 @@ def test_residue_candidates_against_brute_force():
     assert (a == b).sum() >= 0.97 * len(seeds)
 
 
+def test_residue_search_misses_nothing_near(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")  # numbers are all one word
+    seeds, others = ([[w.translate(letters) for w in ws] for ws in x] for x in near_sentences())
+    one, two = residue.sim_hashes(seeds), residue.sim_hashes(others)
+    near = np.bitwise_count((one ^ two).view(np.uint64)) <= residue.DISTANCE
+    assert near.mean() >= 0.97
+    keys, n = residue.own_keys([set(w) for w in others])
+    ends = np.cumsum(n).tolist()
+    frontier = [(i, s, " ".join(w)) for i, (s, w) in enumerate(zip(one.tolist(), seeds))]
+    rest = [(10_000 + i, s, " ".join(w), keys[b - k : b].tolist()) for i, (s, w, b, k) in enumerate(zip(two.tolist(), others, ends, n.tolist()))]
+    got = residue._near(
+        spark.createDataFrame(frontier, "unit long, sim long, text string"), spark.createDataFrame(rest, "unit long, sim long, text string, keys array<int>")
+    )
+    assert {(r["a"], r["b"]) for r in got.collect()} >= {(int(i), 10_000 + int(i)) for i in np.flatnonzero(near)}
+
+
+def test_residue_links_between_linked_sentences_join(spark):
+    base = "Sorry, the page that you asked for {} is not {} the catalogue of this small shop in the old town by the harbour"
+    data = [(i, base.format(x, "in")) for i, x in enumerate(("today", "here"))]
+    # Alike, each near a notice; one speaks about such things.
+    data += [(10, "Alas" + data[0][1][5:]), (11, "Alas" + data[1][1][5:] + " you see")]
+    got = dict(rows(residue.residue_records(spark.createDataFrame(data, "id long, content string"))))
+    assert got == {0: 4, 1: 4}
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_residue_components(spark, monkeypatch, few):
+    monkeypatch.setattr(residue, "FEW_LINKS", few)
+    links = spark.createDataFrame([(5, 4), (4, 9), (9, 5), (2, 7), (7, 3), (3, 9), (20, 21), (20, 21)], "a long, b long")
+    assert rows(residue._components(links)) == sorted([(x, 2) for x in (2, 3, 4, 5, 7, 9)] + [(20, 20), (21, 20)], key=str)
+
+
 def test_residue_of_one_other_word_is_carried(spark):
     notices = [f"Sorry, the page that you asked for {x} is not in the catalogue" for x in ("today", "here", "again", "now")]
     data = [(i, t) for i, t in enumerate(notices)] + [(10 + i, t.replace("Sorry", "Alas")) for i, t in enumerate(notices)]
