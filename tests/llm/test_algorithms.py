@@ -402,6 +402,45 @@ def test_bucket_links_against_brute_force():
     assert parts(repeated.bucket_links(np.arange(len(sets)), sets, 0.8)) == parts(brute)
 
 
+def test_bucket_links_are_all_pairs():
+    own = [{"a", "b", "c", "d", "e", "f", "g", "h", "i", x} for x in "pqrst"]
+    sets = [np.array(sorted(map(ord, s))) for s in own]
+    assert sorted(map(sorted, repeated.bucket_links(np.arange(5), sets, 0.8))) == [[a, b] for a in range(5) for b in range(a + 1, 5)]
+
+
+@pytest.mark.parametrize("grouped", [2_048, 4])
+def test_clusters_do_not_depend_on_the_bucket(spark, monkeypatch, grouped):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(60)]
+    lines = []
+    for _ in range(6):
+        base = list(rng.choice(words, 14, replace=False))
+        for _ in range(12):
+            own = list(base)
+            own[int(rng.integers(14))] = str(rng.choice(words))
+            lines.append(" ".join(own))
+    forms = spark.createDataFrame([(1, i, int(rng.integers(1, 4)), 6, t) for i, t in enumerate(dict.fromkeys(lines))], "site long, form long, w long, need long, text string")
+    want = set(rows(repeated.line_clusters(forms)))
+    assert len(want) > 100
+    monkeypatch.setattr(repeated, "PAIRED", 1)
+    monkeypatch.setattr(repeated, "GROUPED", grouped)
+    assert set(rows(repeated.line_clusters(forms))) == want
+
+
+def test_line_counts_for_each_form_of_its_spellings(spark):
+    names = ["Anna Smith", "Zoe Braun", "Carl Weber", "Ida Lund", "Omar Haddad", "Nina Rossi", "Paul Martin", "Eva Novak", "Hugo Silva", "Lena Fischer"]
+    lines = [f"By {n}, {i + 1} May 2020" for i, n in enumerate(names)]
+    data = [(i, "http://a.org/", t) for i, t in enumerate(lines)] + [(10 + i, "http://a.org/", t.upper()) for i, t in enumerate(lines)]
+    df = spark.createDataFrame(data, "id long, url string, content string")
+    assert rows(repeated.repeated_lines(df)) == sorted([(i, 1) for i in range(20)], key=str)
+
+
+def test_texts_of_one_id_count_once(spark):
+    records = [(i // 2, "http://a.org/", f"Share this page\nown {i}" + "\nFollow us" * (i < 10)) for i in range(8)] + [(9, "http://a.org/", "Follow us")]
+    df = spark.createDataFrame(records, "id long, url string, content string")
+    assert rows(repeated.repeated_lines(df, exact=True)) == brute_repeated(records)
+
+
 def test_repeated_line_of_several_spellings(spark):
     # Three records in each of two files, one spelling a file; the bound is five records.
     make = lambda i, line: (i, "http://a.org/", f"{line}\nown line {'abcdefgh'[i]} of this record")
