@@ -186,6 +186,15 @@ def test_residue_candidates_against_brute_force():
     assert (a == b).sum() >= 0.97 * len(seeds)
 
 
+def test_residue_words_coded_once():
+    texts = ["a b a 12 x9y", "", "² 3rd ½ 4²", "b a", "one two three four five six"]
+    words = [residue._WORD.findall(t) for t in texts]
+    sims, keys, n = residue._sims_and_keys(words)
+    own, own_n = residue.own_keys([residue._word_set(t) for t in texts])
+    assert n.tolist() == own_n.tolist() and sorted(keys.tolist()) == sorted(own.tolist())
+    assert sims.tolist() == residue.sim_hashes([["0" if w.isdigit() else w for w in ws] for ws in words]).tolist()
+
+
 def test_residue_search_misses_nothing_near(spark):
     letters = str.maketrans("0123456789", "abcdefghij")  # numbers are all one word
     seeds, others = ([[w.translate(letters) for w in ws] for ws in x] for x in near_sentences())
