@@ -427,6 +427,20 @@ def test_clusters_do_not_depend_on_the_bucket(spark, monkeypatch, grouped):
     assert set(rows(repeated.line_clusters(forms))) == want
 
 
+def test_a_form_may_come_in_parts(spark):
+    # As the counts of files come: w in several rows, the text in some of them.
+    parts = [(1, 7, 2, 5, "alpha beta gamma"), (1, 7, 2, 5, None), (1, 7, 1, 5, None), (1, 8, 4, 5, "one two three"), (1, 8, 0, 0, "one two three")]
+    forms = spark.createDataFrame(parts, "site long, form long, w long, need long, text string")
+    assert rows(repeated.line_clusters(forms)) == [(7, 7)]
+
+
+def test_masks_of_many_lines_are_those_of_each():
+    lines = ["By Anna, 12 May 2020", "", "12. Mai 2020 um 3", "on 2020-01-02 and 3", "2020年1月2日 Ana", "one two three four five 1.200,5", "one two three 4", "5,\u3000Bob"]
+    for everywhere in (False, True):
+        assert repeated.masked_lines(lines, everywhere) == [repeated.masked_line(line, everywhere) for line in lines]
+    assert repeated.masked_lines(lines[:6], False) == ["by #n, #d", "", "#d um #", "on #d and #", "#d #n", "one two three four five #"]
+
+
 def test_line_counts_for_each_form_of_its_spellings(spark):
     names = ["Anna Smith", "Zoe Braun", "Carl Weber", "Ida Lund", "Omar Haddad", "Nina Rossi", "Paul Martin", "Eva Novak", "Hugo Silva", "Lena Fischer"]
     lines = [f"By {n}, {i + 1} May 2020" for i, n in enumerate(names)]
