@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -368,3 +369,24 @@ def test_ignorable_and_radicals(raw, expected):
 def test_folded_values(spark):
     df = spark.createDataFrame([("Stra\u00dfe",), ("STRASSE",), ("STRASSE",), (None,), ("",)], "title string")
     assert sorted(map(tuple, folded_values(df, "title").collect())) == [("", "", 1), ("STRASSE", "strasse", 2), ("Stra\u00dfe", "strasse", 1)]
+
+
+def test_a_slice_writes_each_sentence_once():
+    texts = ["Page not found.\nNew: 5 lamps in the shop" for _ in range(5000)] + ["Sorry, we could not find it 日本。テスト。"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    got = pa.Table.from_batches(residue._unit_rows(iter([batch])))
+    found = [(text, label) for text in texts for text, label, _ in residue.page_units(text, {})]
+    assert got.column("label").to_pylist() == [label for _, label in found]
+    shown = [x for x in got.column("text").to_pylist() if x]
+    assert len(shown) == len(set(shown)) == len({text for text, _ in found})
+
+
+def test_long_texts_are_sliced_by_bytes(monkeypatch):
+    monkeypatch.setattr(residue, "SLICE", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["abcd", "efgh", "ij", "k" * 30, "", "l"]})
+    assert [p.column("text").to_pylist() for p in residue._slices(batch)] == [["abcd", "efgh", "ij"], ["k" * 30], ["", "l"]]
+
+
+def test_sentence_ends_by_either_pattern():
+    for text in ("One. Two! Three: four", "a.b c", "Eins.\u00a0Zwei", "終わり。次。 Last? x", "no end", "x:  y"):
+        assert [p for p in residue._sentences(text) if p] == [p for p in residue._SENTENCES.split(text) if p]
