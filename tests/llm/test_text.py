@@ -221,6 +221,23 @@ def test_residue_links_between_linked_sentences_join(spark):
     assert got == {0: 4, 1: 4}
 
 
+@pytest.mark.parametrize("few", [0, 32 << 20])
+def test_residue_is_carried_along_a_chain(spark, monkeypatch, few):
+    words = "click here to edit this heading and then add more lines about our small bakery".split()
+    data = [(0, " ".join(words))]
+    for i, k in enumerate((4, 0, 8, 9, 10, 11)):  # each is near the one before it and the one after it only
+        words[k] = "vanorak" + "abcdef"[i]
+        data.append((i + 1, " ".join(words)))
+    written, write = [], residue.materialised
+    monkeypatch.setattr(residue, "BROADCAST", few, raising=False)
+    monkeypatch.setattr(residue, "materialised", lambda df: (written.append(df.columns), write(df))[1])
+    got = dict(rows(residue.residue_records(spark.createDataFrame([*data, (20, "An oven is lit")], "id long, content string"))))
+    assert got == {i: residue.FILL for i, _ in data}
+    # A hop of few sentences passes over the rest once: it writes its pairs, the near ones and what is looked up next.
+    if few:
+        assert len(written) <= 8 + 4 * len(data)
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_residue_components(spark, monkeypatch, few):
     monkeypatch.setattr(residue, "FEW_LINKS", few)
