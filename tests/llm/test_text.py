@@ -407,3 +407,45 @@ def test_long_texts_are_sliced_by_bytes(monkeypatch):
 def test_sentence_ends_by_either_pattern():
     for text in ("One. Two! Three: four", "a.b c", "Eins.\u00a0Zwei", "終わり。次。 Last? x", "no end", "x:  y"):
         assert [p for p in residue._sentences(text) if p] == [p for p in residue._SENTENCES.split(text) if p]
+
+
+LINES = [
+    "", "  ", "Plain words. And more: of it!  Last", "One.\tTwo", "Short. One.", "終わり。次。 Last? x", "Costs {{ a. b }} here today. More words follow.", "404 Not Found", "A café. Page not found.", "Cafés Sorry, we could not find it",
+    "pаyment by card. Straße 5 ² m", "日本語、テスト！ＡＢＣ１", "x\x0by", "x\x00y. z", "한 one two three", "ΟΔΟΣ. ΟΔΟΣ 4²", "İstanbul sorry. Fehler 404: nein", "Lorem ipsum dolor sit amet consectetur. 12 345 6th", "---", "  Ray ID: 83a7 f. Then. ", "word " * 300,
+]
+
+
+def test_lines_in_one_spelling_all_at_once():
+    from sitelode.llm.canonical import canonical_lines
+
+    assert canonical_lines(LINES) == [canonical(x) for x in LINES] and canonical_lines([]) == []
+
+
+def test_sentences_of_all_lines_at_once(monkeypatch):
+    texts = ["\n".join(LINES), *LINES, "\n".join(LINES[::-1]), "A lantern We are under heavy load now. Zzz", ""]
+    expected = [(i, text, label) for i, content in enumerate(texts) for text, label, _ in residue.page_units(content, {})]
+    words = {text: own for content in texts for text, _, own in residue.page_units(content, {})}
+    one_by_one = []
+    monkeypatch.setattr(residue, "_units_of", one_by_one.append)
+    got = pa.Table.from_batches(residue._unit_rows(iter([pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})])))
+    assert not one_by_one and [(i, label) for i, _, label in expected] == list(zip(got.column("id").to_pylist(), got.column("label").to_pylist()))
+    unit = dict(zip((text for _, text, _ in expected), got.column("unit").to_pylist()))
+    masked = {text: tuple("0" if w.isdigit() and re.search(r"\d", text) else w for w in own) for text, own in words.items()}
+    assert len(set(unit.values())) == len(set(masked.values())) == len({(unit[t], masked[t]) for t in unit})
+    for text, sim, keys in zip(*(got.column(c).to_pylist() for c in ("text", "sim", "keys"))):
+        if text is not None:
+            sims, own, _ = residue._sims_and_keys([words[text]])
+            assert sim == sims[0] and sorted(keys or []) == sorted(own.tolist())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZé́адΣω 1.²。！？:!\t\r\x0b ‍{}4日ア-하 "), max_size=30), max_size=6))
+def test_sentences_of_any_lines_at_once(lines):
+    from sitelode.llm.canonical import canonical_lines
+
+    assert canonical_lines(lines) == [canonical(x) for x in lines]
+    distinct = list(dict.fromkeys(lines))
+    units = residue._Units(distinct, np.arange(0))
+    for i, line in enumerate(distinct):
+        own = units.of[units.begin[i] : units.begin[i] + units.size[i]].tolist()
+        assert [(units.texts[u], int(units.labels[u]), units.words[units.codes[units.at[u] : units.at[u] + units.n[u]]].tolist()) for u in own] == residue._units_of(line)
