@@ -509,3 +509,43 @@ def test_minima_of_all_sizes_in_one_pass(shingle):
         for k, text in enumerate(texts):
             own = np.unique(minima[row[starts] == k]).view(np.int64)
             assert np.array_equal(own, leakage._window_minima(text, size, shingle)), (size, k)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_lines_of_small_sites_are_clustered_in_one_task(spark, monkeypatch, exact):
+    rng = np.random.default_rng(8)
+    stems = [" ".join(f"w{x}" for x in rng.choice(60, int(rng.integers(1, 14)), replace=False)) for _ in range(25)]
+    data = []
+    for i in range(160):
+        lines = [stems[k] + (f" {rng.integers(30)}x" if rng.random() < 0.4 else "") for k in rng.choice(25, 4)] + [f"only here {i}", "Seen 3 May 2020 By" if i % 2 else "seen 3 may 2020 by"]
+        data.append((i - i % 10 // 9, f"http://www.s{i % 5 % 4}.example/{i}", None if i % 20 == 7 else "\n".join(lines)))
+    df = spark.createDataFrame([*data, data[0], (500, None, "a\nb"), (501, "http://s9.example/", None)], "id long, url string, content string")
+    spread, calls = repeated._spread_clusters, []
+    monkeypatch.setattr(repeated, "_spread_clusters", lambda *x: calls.append(x) or spread(*x))
+    want = None
+    for most in (1 << 16, 150, 0):
+        monkeypatch.setattr(repeated, "LOCAL", most)
+        got = rows(repeated.repeated_lines(df, exact=exact))
+        assert bool(calls) == (most < 1 << 16) and len(got) == len(set(got)) > 100
+        want = want or got
+        assert got == want
+
+
+@pytest.mark.parametrize(("paired", "grouped"), [(64, 2048), (3, 2048), (2, 5)])
+def test_links_of_a_task_against_brute_force(monkeypatch, paired, grouped):
+    monkeypatch.setattr(repeated, "PAIRED", paired)
+    monkeypatch.setattr(repeated, "GROUPED", grouped)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 14, int(rng.integers(1, 12)))).astype(np.int64) for _ in range(120)]
+    keys = [rng.integers(0, 25, int(rng.integers(1, 4))) for _ in sets]
+    keys = [np.unique(k) for k in keys]
+    w, need = rng.integers(1, 4, 120), rng.integers(3, 40, 120)
+    size = np.array([len(x) for x in sets])
+    bits = [np.array([int(np.bitwise_or.reduce(np.int64(1) << x)) for x in sets]), np.zeros(120, np.int64)]
+    one, two = repeated._site_links(np.concatenate(keys), np.repeat(np.arange(120), [len(k) for k in keys]), w, need, np.concatenate(sets), size, bits, 0.6)
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for a in range(120) for b in range(120) if a != b and len(np.intersect1d(keys[a], keys[b])) and like(a, b) >= 0.6 - 1e-9}
+    got = set(zip(one.tolist(), two.tolist()))
+    centres = lambda links: {a for a in range(120) if w[a] + sum(w[b] for x, b in links if x == a) >= need[a]}
+    assert len(got) == len(one) and got <= want and centres(got) == centres(want)
+    assert {x for x in want if x[0] in centres(want)} <= got and want
